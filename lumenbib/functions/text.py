@@ -72,9 +72,10 @@ def normalize_author(col: Column) -> Column:
 
 
 def author_key(normal: Column) -> Column:
-    """Last name and first initial of a normalised name; a single word is its own key; '' for none."""
+    """Last name and first initial of a normalised name; a single word, an empty name and null are their own key."""
     parts = F.split(normal, " ")
-    return F.when(F.size(parts) <= 1, normal).otherwise(F.concat_ws(" ", F.element_at(parts, -1), F.left(F.element_at(parts, 1), F.lit(1))))
+    full = F.concat_ws(" ", F.element_at(parts, -1), F.left(F.element_at(parts, 1), F.lit(1)))
+    return F.when(normal.isNull() | (F.size(parts) <= 1), normal).otherwise(full)
 
 
 def strict_author_key(normal: Column) -> Column:

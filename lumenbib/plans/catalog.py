@@ -200,7 +200,7 @@ def _(s, d):
     return search.search(_papers(s, d), search.SearchFilters(title="towards"), 50).select("paper_id", "title", "year")
 
 
-@_query("lim_03_page", "select paper_id, title from papers order by lower(coalesce(title, '')), year desc nulls last, event nulls first, title nulls first, paper_id limit 100 offset 200")
+@_query("lim_03_page", "select paper_id, title from papers order by lower(coalesce(title, '')), year desc nulls last, event nulls first, title nulls first, paper_id limit 100 offset (select 100 * least(2, (greatest(count(*), 1) - 1) // 100) from papers)")
 def _(s, d):
     return search.page(_papers(s, d), 3, 100, "title").select("paper_id", "title")
 
