@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenbib.functions.stats import exclusive_percentile
-from lumenbib.functions.text import DEFAULT_MONTH, author_key, jaccard, lag_days, normalize_author, parse_authors, title_tokens
+from lumenbib.functions.text import DEFAULT_MONTH, author_key, jaccard, lag_days, normalize_author, parse_authors, squeeze_title, title_tokens
 
 TITLE_THRESHOLD, SHARED_AUTHORS, OUTCOME_THRESHOLD = 0.55, 1, 0.6
 
@@ -132,3 +132,15 @@ def title_join(left: DataFrame, right: DataFrame, threshold: float = OUTCOME_THR
 def agreement(pairs: DataFrame, threshold: float = 0.95) -> DataFrame:
     """Rows whose likeness reaches the threshold; no likeness counts as 0. ``pairs (source, similarity)``."""
     return pairs.groupBy("source").agg(F.count_if(F.coalesce("similarity", F.lit(0.0)) >= threshold).alias("agree"), F.count("*").alias("n"))
+
+
+def title_year_match(left: DataFrame, right: DataFrame, years: int = 1) -> DataFrame:
+    """``(id, match)``: for each left row the first right row with the same squeezed title at most ``years`` apart.
+
+    Both sides are ``(id, title, year)``. The join is on the title; the year is a residual, and the first
+    match is the smaller id, taken by a grouped minimum.
+    """
+    key = squeeze_title(F.col("title"))
+    l = left.select("id", key.alias("k"), F.col("year").alias("ly")).where("k <> ''")  # noqa: E741
+    r = right.select(F.col("id").alias("rid"), key.alias("k"), F.col("year").alias("ry"))
+    return l.join(r, "k").where(F.abs(F.col("ly") - F.col("ry")) <= years).groupBy("id").agg(F.min("rid").alias("match"))

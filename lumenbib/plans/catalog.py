@@ -558,6 +558,113 @@ def _(s, d):
     return flows.breaker_states(table(s, d, "service_calls"))
 
 
+# --- further single operators -------------------------------------------------------------------------------
+@_query("filt_03_keyword", "select count(*) as n from papers where contains(lower(title), 'fuzzing') or contains(lower(coalesce(abstract, '')), 'fuzzing')")
+def _(s, d):
+    return _papers(s, d).where(search.has("title", "fuzzing") | search.has("abstract", "fuzzing")).agg(F.count("*").alias("n"))
+
+
+@_query("filt_11_no_editorship", "select paper_id from papers where paper_type <> 'editorship'")
+def _(s, d):
+    return _papers(s, d).where("paper_type <> 'editorship'").select("paper_id")
+
+
+@_query("filt_12_required", "select paper_id from papers where paper_id <> '' and title <> '' and year is not null and year <> 0")
+def _(s, d):
+    return _papers(s, d).where("paper_id <> '' and title <> '' and year <> 0").select("paper_id")
+
+
+@_query("filt_19_population", "select event, count(*) as n from papers where trim(coalesce(abstract, '')) <> '' group by 1")
+def _(s, d):
+    return aggregates.counts_by(_papers(s, d).where(F.trim(F.coalesce("abstract", F.lit(""))) != ""), "event")
+
+
+@_query("join_12_labels", "with l as (select event, count(*) filter (where status = 'ok') as valid, count(*) as labelled from abstract_log group by 1), p as (select event, count(*) as n from papers group by 1) select event, valid, labelled, n, valid / labelled as rate from l join p using (event)")
+def _(s, d):
+    labels = table(s, d, "abstract_log").select("event", F.when(F.col("status") == "ok", "valid").otherwise("invalid").alias("label"))
+    return aggregates.label_summary(labels, aggregates.counts_by(_papers(s, d), "event"))
+
+
+@_query("agg_27_weighted", "with l as (select event, count(*) filter (where status = 'ok') as valid, count(*) as labelled from abstract_log group by 1), p as (select event, count(*) as n from papers group by 1) select sum(n * (valid / labelled)) / sum(n) as weighted_rate from l join p using (event)")
+def _(s, d):
+    labels = table(s, d, "abstract_log").select("event", F.when(F.col("status") == "ok", "valid").otherwise("invalid").alias("label"))
+    return aggregates.weighted_rate(aggregates.label_summary(labels, aggregates.counts_by(_papers(s, d), "event")))
+
+
+@_query("join_13_title_year", "select x.arxiv_id as id, min(p.paper_id) as match from (select distinct arxiv_id, title, cast(left(submitted_at, 4) as int) as y from preprints) x join papers p on regexp_replace(lower(x.title), '[^a-z0-9]+', '', 'g') = regexp_replace(lower(p.title), '[^a-z0-9]+', '', 'g') and abs(x.y - p.year) <= 1 where regexp_replace(lower(x.title), '[^a-z0-9]+', '', 'g') <> '' group by 1")
+def _(s, d):
+    left = _preprints(s, d).select(F.col("arxiv_id").alias("id"), "title", F.expr("try_cast(left(submitted_at, 4) as int)").alias("year")).distinct()
+    return similarity.title_year_match(left, _papers(s, d).select(F.col("paper_id").alias("id"), "title", "year"))
+
+
+@_query("agg_07_conditional", "select event, avg(case when coalesce(abstract, '') <> '' then 100.0 else 0 end) as pct from papers where year >= 2020 group by 1")
+def _(s, d):
+    p = _papers(s, d).where("year >= 2020")
+    return p.groupBy("event").agg(F.avg(F.when(F.coalesce("abstract", F.lit("")) != "", 100.0).otherwise(0.0)).alias("pct"))
+
+
+@_query("agg_11_band", "select year, event, count(*) as n from papers where year between 2018 and 2022 group by 1, 2 having count(*) between 3 and 500")
+def _(s, d):
+    return _papers(s, d).where(F.col("year").between(2018, 2022)).groupBy("year", "event").agg(F.count("*").alias("n")).where(F.col("n").between(3, 500))
+
+
+@_query("agg_29_overlap", r"with w as (select l.log_id, list_distinct(list_filter(regexp_split_to_array(lower(p.abstract), '[^0-9A-Za-z_]+'), lambda x: x <> '')) as a, list_distinct(list_filter(regexp_split_to_array(lower(l.abstract), '[^0-9A-Za-z_]+'), lambda x: x <> '')) as b from abstract_log l join papers p using (paper_id) where l.status = 'ok' and p.abstract is not null) select log_id, len(list_intersect(a, b)) / greatest(len(b), 1) as overlap from w")
+def _(s, d):
+    from lumenbib.functions.abstracts import word_overlap
+
+    log = table(s, d, "abstract_log").where("status = 'ok'").select("log_id", "paper_id", F.col("abstract").alias("logged"))
+    both = log.join(_papers(s, d).where("abstract is not null").select("paper_id", "abstract"), "paper_id")
+    return both.select("log_id", word_overlap(F.col("abstract"), F.col("logged")).alias("overlap"))
+
+
+@_query("set_04_events", "select distinct event from papers where event is not null")
+def _(s, d):
+    return _papers(s, d).where("event is not null").select("event").distinct()
+
+
+@_query("set_05_keys", "select distinct key from papers where coalesce(bibtex, '') = '' and coalesce(key, '') <> ''")
+def _(s, d):
+    return search.lacking_entry(_papers(s, d)).select("key").distinct()
+
+
+@_query("set_02_shared_sources", "select l.paper_id, len(list_intersect(l.s, c.s)) as shared from (select paper_id, list_distinct(list(status)) as s from abstract_log group by 1) l join (select paper_id, list_distinct(list(status)) as s from service_calls where paper_id is not null group by 1) c using (paper_id)")
+def _(s, d):
+    per = lambda t: t.where("paper_id is not null").groupBy("paper_id").agg(F.collect_set("status").alias("s"))
+    l, c = per(table(s, d, "abstract_log")), per(table(s, d, "service_calls")).withColumnRenamed("s", "t")  # noqa: E741
+    return l.join(c, "paper_id").select("paper_id", F.size(F.array_intersect("s", "t")).alias("shared"))
+
+
+@_query("scal_31_stable_join", "select paper_id, string_agg(distinct source, ';' order by source) as sources from abstract_log where source <> '' group by 1")
+def _(s, d):
+    rows = table(s, d, "abstract_log").where("source <> ''").groupBy("paper_id").agg(F.collect_set("source").alias("a"))
+    return rows.select("paper_id", text.stable_join(F.col("a")).alias("sources"))
+
+
+@_query("scal_34_time_shape", "select count(*) filter (where regexp_matches(strftime(logged_at, '%Y-%m-%d %H:%M:%S'), '^20\\d\\d-\\d\\d-\\d\\d \\d\\d:\\d\\d:\\d\\d$')) as well_formed, count(*) as n from abstract_log")
+def _(s, d):
+    return audit.well_formed_times(table(s, d, "abstract_log").select(F.date_format("logged_at", "yyyy-MM-dd HH:mm:ss").alias("t")), "t")
+
+
+@_query("scal_35_iso_time", "select distinct arxiv_id, epoch_us(cast(submitted_at as timestamptz)) as at from preprints")
+def _(s, d):
+    return _preprints(s, d).select("arxiv_id", F.unix_micros(F.to_timestamp("submitted_at")).alias("at")).distinct()
+
+
+@_query("scal_36_last_part", "select paper_id, string_split(ee, '/')[-1] as last from papers where ee is not null")
+def _(s, d):
+    return _papers(s, d).where("ee is not null").select("paper_id", text.last_path_part(F.col("ee")).alias("last"))
+
+
+@_query("sort_02_orders", "select paper_id, coalesce(event, '') as event, year from papers order by coalesce(event, ''), year desc nulls last")
+def _(s, d):
+    return search.ordered(_papers(s, d), "event").select("paper_id", F.coalesce("event", F.lit("")).alias("event"), "year")
+
+
+@_query("hash_04_cache_path", "select distinct cache_key, md5(cache_key) || '.json' as path from service_calls where cache_key is not null")
+def _(s, d):
+    return table(s, d, "service_calls").where("cache_key is not null").select("cache_key", hashing.cache_path(F.col("cache_key")).alias("path")).distinct()
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
