@@ -4,21 +4,19 @@ Method: a deterministic rule cascade. Each rule is an exact join on one combinat
 the one before, with a residual comparison; what a rule resolves is anti-joined from the next pass. The
 confidence of a match is the smoothed precision of its rule on the pairs whose DOI tells the truth.
 
-Both sides are reduced once to narrow key tables. A paper that a rule resolves leaves the cascade; a preprint
-leaves it before the blocked rule, and the last rule brings in further records of a resolved paper. Cases,
+Both sides are reduced once to narrow key tables of ids and hashes. A paper that a rule resolves leaves the
+cascade; a preprint leaves it before the blocked rule, and the last rule brings in further records of a paper. Cases,
 defined: rows without an id, and preprints without a title, match nothing; a paper without authors can match by
 its title alone; repeated rows and harvests count once.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenbib.llm.folding import fold
-from lumenbib.session import broadcast_if_small, cut
+from lumenbib.session import cut
 
 # Remarks on the state of a manuscript that are no part of its title.
 REMARKS = r"[\(\[]\s*(?:draft|preprint|pre-print|extended version|extended abstract|full version|working paper|technical report|v\d+|version \d+)\s*[\)\]]"
@@ -26,8 +24,6 @@ REMARKS = r"[\(\[]\s*(?:draft|preprint|pre-print|extended version|extended abstr
 STOP = "a an and as at by for from how in into is of on or the to towards toward under via with study".split()
 #: Title likeness and author likeness that the residual comparisons ask for.
 TITLE_LIKE, AUTHOR_LIKE = 0.5, 0.5
-#: Rows of the blocked side up to which it is broadcast; beyond, the join shuffles.
-MAX_BROADCAST_KEYS = 400_000
 #: Pseudo-counts of the smoothed precision.
 PRIOR_HITS, PRIOR_MISSES = 1.0, 1.0
 
@@ -75,11 +71,12 @@ def _keys(df: DataFrame, key: str, title: str, names: Column, body: str, year: C
         year.alias("year"),
         F.lower(doi).alias("doi"),
     )
+    small = lambda c: F.transform(c, lambda w: F.hash(w))
     return rows.where("title <> ''").select(
-        "id", "title", "subtitle", "words", "surnames", "year", "doi",
-        F.when(F.length("_body") >= 100, F.xxhash64("_body")).alias("body"),
-        F.when(F.size("words") > 0, F.xxhash64(F.array_sort("words"))).alias("people"),
-        _content(F.col("title")).alias("content"),
+        "id", F.xxhash64("title").alias("title"), F.xxhash64("subtitle").alias("subtitle"), F.size(F.split("subtitle", " ")).alias("sub_n"),
+        small(F.col("words")).alias("words"), small(F.col("surnames")).alias("surnames"), "year",
+        F.when(F.col("doi").isNotNull(), F.xxhash64("doi")).alias("doi"), F.when(F.length("_body") >= 100, F.xxhash64("_body")).alias("body"),
+        F.when(F.size("words") > 0, F.xxhash64(F.array_sort("words"))).alias("people"), small(_content(F.col("title"))).alias("content"),
     )
 
 
@@ -93,7 +90,7 @@ def preprint_keys(preprints: DataFrame) -> DataFrame:
     year = F.expr("try_cast(left(submitted_at, 4) as int)")
     names = F.coalesce("authors", F.array().cast("array<string>"))
     keys = _keys(preprints, "arxiv_id", "title", names, "summary", year, F.col("doi"))
-    return keys.dropDuplicates(["id", "title", "people", "body"])
+    return keys.distinct()
 
 
 def _alike(a: str, b: str) -> Column:
@@ -106,52 +103,62 @@ def _jaccard(a: str, b: str) -> Column:
 
 
 def cascade(papers: DataFrame, preprints: DataFrame) -> DataFrame:
-    """``(paper_id, arxiv_id, rule, confidence)`` of every match."""
+    """``(paper_id, arxiv_id, rule, confidence)`` of every match.
+
+    The exact rules share one join on (rule, key) of ids only; the attributes for their residual comparisons are
+    joined to the candidates once. That each paper keeps the matches of its first successful rule is what an
+    anti-join after every pass leaves.
+    """
     p = cut(paper_keys(papers))
     x = cut(preprint_keys(preprints))
-    left = lambda df: df.select(*[F.col(c).alias(f"p_{c}") for c in p.columns])
-    right = lambda df: df.select(*[F.col(c).alias(f"x_{c}") for c in x.columns])
+    left = p.select(*[F.col(c).alias(f"p_{c}") for c in p.columns])
+    right = x.select(*[F.col(c).alias(f"x_{c}") for c in x.columns])
     people = _alike("p_words", "x_words")
     titles = _jaccard("p_content", "x_content")
     when = F.coalesce(F.col("p_year") - F.col("x_year"), F.lit(0)).between(-2, 5)
     rules = {
-        "title_authors": (["title"], people >= 0.25),
-        "body_authors": (["body"], people >= 0.25),
-        "subtitle_authors": (["subtitle"], (people >= AUTHOR_LIKE) & (F.size(F.split("p_subtitle", " ")) >= 3) & when),
-        "title_only": (["title"], (F.size("p_words") <= 1) & (F.size("p_content") >= 4) & when),
-        "all_authors": (["people"], (titles >= TITLE_LIKE) & when),
+        "title_authors": ("title", people >= 0.25),
+        "body_authors": ("body", people >= 0.25),
+        "subtitle_authors": ("subtitle", (people >= AUTHOR_LIKE) & (F.col("p_sub_n") >= 3) & when),
+        "title_only": ("title", (F.size("p_words") <= 1) & (F.size("p_content") >= 4) & when),
+        "all_authors": ("people", (titles >= TITLE_LIKE) & when),
     }
-    done: list[DataFrame] = []
-    open_papers, open_preprints = p, x
-    for rule, (on, residual) in rules.items():
-        join = reduce(lambda a, b: a & b, [F.col(f"p_{c}") == F.col(f"x_{c}") for c in on])
-        hits = left(open_papers).join(right(x), join).where(residual).select(F.col("p_id").alias("pid"), F.col("x_id").alias("xid"))
-        hits = cut(hits.distinct().withColumn("rule", F.lit(rule)))
-        done.append(hits)
-        open_papers = open_papers.join(hits.select(F.col("pid").alias("id")), "id", "left_anti")
-    resolved = cut(reduce(DataFrame.unionByName, done))
-
-    # The blocked rule: a surname and a word of the title in common, for preprints that nothing has resolved.
-    open_preprints = cut(x.join(resolved.select(F.col("xid").alias("id")), "id", "left_anti"))
-    blocks = lambda df: df.select("id", F.explode("surnames").alias("s"), "content").select("id", "s", F.explode("content").alias("t"))
-    keys = blocks(open_preprints).withColumnRenamed("id", "xid")
-    pairs = blocks(open_papers).withColumnRenamed("id", "pid").join(broadcast_if_small(keys, keys.count(), MAX_BROADCAST_KEYS), ["s", "t"])
-    pairs = pairs.groupBy("pid", "xid").agg(F.count_distinct("t").alias("n")).where("n >= 2").select("pid", "xid")
-    near = pairs.join(left(open_papers), F.col("pid") == F.col("p_id")).join(right(open_preprints), F.col("xid") == F.col("x_id"))
-    blocked = cut(near.where((titles >= TITLE_LIKE) & (people >= AUTHOR_LIKE) & when).select("pid", "xid").withColumn("rule", F.lit("blocked")))
+    kinds = sorted({on for on, _ in rules.values()})
+    exact = lambda df, name: df.select(F.col("id").alias(name), F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).alias("v")) for k in kinds])).alias("e")).select(name, "e.k", "e.v").where("v is not null")
+    pairs = exact(p, "pid").join(exact(x, "xid"), ["k", "v"]).groupBy("pid", "xid").agg(F.collect_set("k").alias("ks"))
+    both = pairs.join(left, F.col("pid") == F.col("p_id")).join(right, F.col("xid") == F.col("x_id"))
+    rank = F.coalesce(*[F.when(F.array_contains("ks", on) & test, F.lit(i)) for i, (on, test) in enumerate(rules.values())])
+    ranked = cut(both.select("pid", "xid", rank.alias("r")).where("r is not null").groupBy("pid", "xid").agg(F.min("r").alias("r")))
+    first = ranked.groupBy("pid").agg(F.min("r").alias("r"))
+    named = F.element_at(F.array(*map(F.lit, rules)), F.col("r") + 1)
+    resolved = cut(ranked.join(first, ["pid", "r"]).select("pid", "xid", named.alias("rule")))
+
+    # The blocked rule, for records that nothing has resolved: a surname and two neighbouring words of the title in common.
+    open_papers = p.join(resolved.select(F.col("pid").alias("id")), "id", "left_anti")
+    open_preprints = x.join(resolved.select(F.col("xid").alias("id")), "id", "left_anti")
+    grams = "transform(slice(content, 1, greatest(size(content) - 1, 0)), (t, i) -> xxhash64(t, content[i + 1]))"
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(F.col("id").alias(name), F.explode("surnames").alias("s"), F.expr(grams).alias("g"))
+        return rows.select(name, F.explode(F.expr("transform(g, t -> xxhash64(s, t))")).alias("b"))
+
+    near = blocks(open_papers, "pid").join(blocks(open_preprints, "xid"), "b").select("pid", "xid").distinct()
+    near = near.join(left, F.col("pid") == F.col("p_id")).join(right, F.col("xid") == F.col("x_id"))
+    alike = (titles >= TITLE_LIKE) & (people >= AUTHOR_LIKE) & when
+    blocked = cut(near.where(alike).select("pid", "xid", F.lit("blocked").alias("rule")).distinct())
     resolved = resolved.unionByName(blocked)
 
     # Further records of a matched paper: the same title and people, or the same abstract, as the matched one.
-    open_papers = open_papers.join(blocked.select(F.col("pid").alias("id")), "id", "left_anti")
-    known = resolved.join(p.select(F.col("id").alias("pid"), "title", "people", "body", "words"), "pid")
-    same_title = open_papers.join(known.select("title", "people", "xid"), ["title", "people"]).select("id", "xid")
-    same_body = open_papers.alias("o").join(known.select("body", "xid", F.col("words").alias("w")), "body").where(_alike("o.words", "w") >= 0.25).select("id", "xid")
+    rest = p.join(resolved.select(F.col("pid").alias("id")), "id", "left_anti")
+    known = resolved.join(p.select(F.col("id").alias("pid"), "title", "people", "body"), "pid")
+    same_title = rest.select("id", "title", "people").join(known.select("title", "people", "xid"), ["title", "people"]).select("id", "xid")
+    same_body = rest.select("id", "body", "people").join(known.select("body", "people", "xid"), ["body", "people"]).select("id", "xid")
     sibling = same_title.unionByName(same_body).distinct().select(F.col("id").alias("pid"), "xid", F.lit("sibling").alias("rule"))
     matches = cut(resolved.unionByName(sibling))
 
-    labelled = matches.join(p.select(F.col("id").alias("pid"), F.col("doi").alias("pd")), "pid").join(
+    labelled = matches.join(p.select(F.col("id").alias("pid"), F.col("doi").alias("pd")).where("pd is not null"), "pid").join(
         x.where("doi is not null").select(F.col("id").alias("xid"), F.col("doi").alias("xd")).distinct(), "xid"
-    ).where("pd is not null")
+    )
     precision = labelled.groupBy("rule").agg(
         ((F.count_if(F.col("pd") == F.col("xd")) + PRIOR_HITS) / (F.count("*") + PRIOR_HITS + PRIOR_MISSES)).alias("confidence")
     )
