@@ -46,16 +46,18 @@ def _ends(texts: DataFrame) -> DataFrame:
     """Each text with its marker removed and its last four words; ``open`` where no end sign closes it."""
     t = F.regexp_replace("text", r"\s+$", "")
     marked = texts.select("id", "text", t.alias("_t")).where("_t <> ''")
-    marked = marked.withColumn("_m", F.regexp_extract("_t", MARKER, 0))
+    # Markers and end signs are short, so their patterns run over the end of the text and not from every place in it.
+    marked = marked.withColumn("_m", F.regexp_extract(F.expr("right(_t, 64)"), MARKER, 0))
     marked = marked.withColumn("core", F.regexp_replace(F.when(F.col("_m") == "", F.col("_t")).otherwise(F.expr("left(_t, length(_t) - length(_m))")), r"\s+$", ""))
-    closed = F.col("core").rlike(END) & ~F.col("core").rlike(r"\s\d\.$") | F.col("core").rlike(r"(?i)factor of \d+\.$|\bto \d+\.$")
+    tail = F.expr("right(core, 64)")
+    closed = tail.rlike(END) & ~tail.rlike(r"\s\d\.$") | tail.rlike(r"(?i)factor of \d+\.$|\bto \d+\.$")
     last = F.reverse(F.slice(F.reverse(F.split(F.expr("right(core, 200)"), r"\s+")), 1, 4))
     return marked.select(
         "id",
         F.char_length("_t").alias("n"),
         (F.col("_m") != "").alias("marked"),
         closed.alias("closed"),
-        (F.col("core").rlike(ODD_END) | F.expr("right(core, 400)").rlike(LIST_END)).alias("odd"),
+        (F.expr("right(core, 400)").rlike(ODD_END) | F.expr("right(core, 400)").rlike(LIST_END)).alias("odd"),
         F.transform(last, _word).alias("last"),
     )
 
