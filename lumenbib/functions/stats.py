@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import comb
+from math import exp, isqrt, lgamma, log, log1p
 
 import pandas as pd
 from pyspark.sql import Column
@@ -30,8 +30,33 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 
 
 def _tail(k: int, n: int, p: float) -> float:
-    """P(X >= k) for a binomial variable."""
-    return sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
+    """P(X >= k) for a binomial variable, ``0 < k <= n``: the regularised incomplete beta function at ``(k, n - k + 1)``.
+
+    By its continued fraction (Lentz's method), on the side where it converges within some ``sqrt(n)`` steps.
+    """
+    if p <= 0 or p >= 1:
+        return float(p >= 1)
+    a, b = k, n - k + 1
+    if p > (a + 1) / (a + b + 2):
+        return 1 - _beta(b, a, 1 - p)
+    return _beta(a, b, p)
+
+
+def _beta(a: int, b: int, x: float) -> float:
+    scale = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 / ((1 - (a + b) * x / (a + 1)) or tiny)
+    value = d
+    for m in range(1, 1000 + 50 * isqrt(a + b)):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        for t in (even, odd):
+            d = 1 / ((1 + t * d) or tiny)
+            c = (1 + t / c) or tiny
+            value *= c * d
+        if abs(c * d - 1) < 1e-14:
+            return scale * value
+    raise ArithmeticError(f"the incomplete beta function does not converge at {a}, {b}, {x}")
 
 
 def exact_interval(hits: int, n: int, confidence: float = 0.95) -> tuple[float, float]:

@@ -523,7 +523,7 @@ def _(s, d):
 def _(s, d):
     valid = F.count_if(F.length(text.collapse(F.col("abstract"))) >= 100)
     n = _papers(s, d).groupBy("event").agg(valid.alias("valid"), F.count("*").alias("n"))
-    return n.withColumn("i", stats.binomial_interval(F.least("valid", F.lit(200)), F.least("n", F.lit(200)))).select("event", "i.low", "i.high")
+    return n.withColumn("i", stats.binomial_interval("valid", "n")).select("event", "i.low", "i.high")
 
 
 _STATUS = f"""

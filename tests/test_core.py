@@ -4,6 +4,8 @@ import random
 import statistics
 import zipfile
 from datetime import datetime
+from fractions import Fraction
+from math import comb, exp, fsum, lgamma, log, log1p
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from lumenbib.engine import Engine
 from lumenbib.functions import abstracts, bibtex, derived, hashing, stats, text
 from lumenbib.operators import aggregates, audit, dml, graph, readiness, records, sampling, search, similarity
+from lumenbib.plans import catalog
 from lumenbib.schema import PAPER, missing_columns, split_valid_years
 from lumenbib.sources import records as sources
 from lumenbib.sources import sinks
@@ -121,6 +124,26 @@ def test_quantiles_and_intervals(spark):
     assert ranks == 19.0
 
 
+def test_interval_of_thousands(spark, tmp_path):
+    def tail(k, n, p):
+        return sum(comb(n, i) * Fraction(p) ** i * (1 - Fraction(p)) ** (n - i) for i in range(k, n + 1))
+
+    low, high = stats.exact_interval(287, 307)
+    assert float(tail(287, 307, low)) == pytest.approx(0.025, rel=1e-9) and float(tail(288, 307, high)) == pytest.approx(0.975, rel=1e-9)
+    for k, n in ((2177, 2302), (1, 5000), (123_456, 1_000_000)):
+        low, high = stats.exact_interval(k, n)
+        logs = [lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) for i in range(n + 1)]
+        upper = fsum(exp(logs[i] + i * log(low) + (n - i) * log1p(-low)) for i in range(k, n + 1))
+        lower = fsum(exp(logs[i] + i * log(high) + (n - i) * log1p(-high)) for i in range(k + 1))
+        assert (upper, lower) == (pytest.approx(0.025, rel=1e-6), pytest.approx(0.025, rel=1e-6))
+    event = F.when(F.col("id") < 2302, F.lit("big")).otherwise(F.lit("small"))
+    valid = ((F.col("id") < 2302) & (F.col("id") < 2177)) | (F.col("id") >= 2310)
+    df = spark.range(2320).select(event.alias("event"), F.when(valid, F.lit("x" * 120)).otherwise(F.lit("short")).alias("abstract"))
+    df.write.parquet(f"{tmp_path}/papers.parquet")
+    got = {r.event: (r.low, r.high) for r in catalog.queries()["stat_01_interval"](spark, str(tmp_path)).collect()}
+    assert got == {"big": stats.exact_interval(2177, 2302), "small": stats.exact_interval(10, 18)}
+
+
 # --- sources and sinks --------------------------------------------------------------------------------------
 def test_listing_json(spark, tmp_path):
     hit = lambda i, **info: {"@id": i, "@score": "3", "info": {"title": "T &amp; U.", "year": "2020", "venue": "CCS", "type": "Conference and Workshop Papers", **info}}
