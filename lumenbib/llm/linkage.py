@@ -102,6 +102,29 @@ def _jaccard(a: str, b: str) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
 
 
+def _near_titles(papers: DataFrame, preprints: DataFrame) -> DataFrame:
+    """``(pid, xid)`` of all records with a surname in common whose titles can be ``TITLE_LIKE`` alike.
+
+    A prefix filter, which loses nothing: words are ordered by the pairs they would build, those of one side only
+    first, and titles alike share one of their first ``n - ceil(t n) + 1`` words. Sizes are compared in the join.
+    """
+    version = F.xxhash64("content", "surnames")
+    p, x = (cut(df.select("id", "content", "surnames", version.alias("v")).where("size(content) > 0 and size(surnames) > 0").distinct()) for df in (papers, preprints))
+    counts = lambda df, name: df.select(F.explode("content").alias("t")).groupBy("t").agg(F.count("*").alias(name))
+    weight = cut(counts(p, "np").join(counts(x, "nx"), "t").select("t", (F.col("np") * F.col("nx")).alias("w")))
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        words = df.select("id", "v", F.explode("content").alias("t")).join(weight, "t", "left")
+        words = words.groupBy("id", "v").agg(F.sort_array(F.collect_set(F.struct(F.coalesce("w", F.lit(0)).alias("w"), "t"))).alias("o"))
+        first = F.slice("o", 1, (F.size("o") - F.ceil(F.size("o") * F.lit(TITLE_LIKE)) + 1).cast("int"))
+        words = words.select("id", "v", F.size("o").alias(f"n_{name}"), F.filter(first, lambda e: e.w > 0).alias("o")).where("size(o) > 0")
+        rows = words.join(df.select("id", "v", "surnames"), ["id", "v"]).select("id", f"n_{name}", "o", F.explode("surnames").alias("s"))
+        return rows.select(F.col("id").alias(name), f"n_{name}", F.explode(F.expr("transform(o, e -> xxhash64(s, e.t))")).alias("b"))
+
+    sizes = F.least("n_pid", "n_xid") >= TITLE_LIKE * F.greatest("n_pid", "n_xid")
+    return blocks(p, "pid").join(blocks(x, "xid"), "b").where(sizes).select("pid", "xid").distinct()
+
+
 def cascade(papers: DataFrame, preprints: DataFrame) -> DataFrame:
     """``(paper_id, arxiv_id, rule, confidence)`` of every match.
 
@@ -133,16 +156,10 @@ def cascade(papers: DataFrame, preprints: DataFrame) -> DataFrame:
     named = F.element_at(F.array(*map(F.lit, rules)), F.col("r") + 1)
     resolved = cut(ranked.join(first, ["pid", "r"]).select("pid", "xid", named.alias("rule")))
 
-    # The blocked rule, for records that nothing has resolved: a surname and two neighbouring words of the title in common.
+    # The blocked rule, for records that nothing has resolved: a surname in common, and titles, people and years alike.
     open_papers = p.join(resolved.select(F.col("pid").alias("id")), "id", "left_anti")
     open_preprints = x.join(resolved.select(F.col("xid").alias("id")), "id", "left_anti")
-    grams = "transform(slice(content, 1, greatest(size(content) - 1, 0)), (t, i) -> xxhash64(t, content[i + 1]))"
-
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select(F.col("id").alias(name), F.explode("surnames").alias("s"), F.expr(grams).alias("g"))
-        return rows.select(name, F.explode(F.expr("transform(g, t -> xxhash64(s, t))")).alias("b"))
-
-    near = blocks(open_papers, "pid").join(blocks(open_preprints, "xid"), "b").select("pid", "xid").distinct()
+    near = _near_titles(open_papers, open_preprints)
     near = near.join(left, F.col("pid") == F.col("p_id")).join(right, F.col("xid") == F.col("x_id"))
     alike = (titles >= TITLE_LIKE) & (people >= AUTHOR_LIKE) & when
     blocked = cut(near.where(alike).select("pid", "xid", F.lit("blocked").alias("rule")).distinct())
@@ -150,9 +167,10 @@ def cascade(papers: DataFrame, preprints: DataFrame) -> DataFrame:
 
     # Further records of a matched paper: the same title and people, or the same abstract, as the matched one.
     rest = p.join(resolved.select(F.col("pid").alias("id")), "id", "left_anti")
-    known = resolved.join(p.select(F.col("id").alias("pid"), "title", "people", "body"), "pid")
+    known = resolved.join(p.select(F.col("id").alias("pid"), "title", "people", "body", "words"), "pid")
     same_title = rest.select("id", "title", "people").join(known.select("title", "people", "xid"), ["title", "people"]).select("id", "xid")
-    same_body = rest.select("id", "body", "people").join(known.select("body", "people", "xid"), ["body", "people"]).select("id", "xid")
+    by_body = known.select("body", "xid", F.col("words").alias("w")).distinct()
+    same_body = rest.select("id", "body", "words").join(by_body, "body").where(_alike("words", "w") >= 0.25).select("id", "xid")
     sibling = same_title.unionByName(same_body).distinct().select(F.col("id").alias("pid"), "xid", F.lit("sibling").alias("rule"))
     matches = cut(resolved.unionByName(sibling))
 

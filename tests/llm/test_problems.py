@@ -1,4 +1,5 @@
 import itertools
+import random
 import re
 from datetime import datetime
 
@@ -186,6 +187,39 @@ def test_cascade(spark):
     assert linkage.found(p.limit(0), x.limit(0)).count() == 0
 
 
+def test_blocked_pairs_against_brute_force(spark):
+    rng = random.Random(7)
+    vocabulary = [f"word{c}" for c in "abcdefghij"]
+    titles = [["fuzzing", "embedded", "firmware"], ["quiet", "radio", "beacons"], ["locating", "stolen", "hidden", "wallets"]]
+    others = [["fuzzing", "embeded", "firmware"], ["quiet", "secret", "radio", "covert", "beacons"], ["wallets", "hidden", "stolen", "locating"]]
+    titles += [rng.sample(vocabulary, rng.randint(1, 6)) for _ in range(50)]
+    others += [rng.sample(vocabulary, rng.randint(1, 6)) for _ in range(50)]
+    letters = [a + b for a in "bcdfghjk" for b in "lmnprstv"]
+    people = lambda side, i: ["Ann Brimo" if i % 3 else "Bob Krelan", f"Given{side}{letters[i]} Sur{side}{letters[i]}"]
+    year = lambda i: 2020 + 8 * (i % 5 == 4)
+    p = papers(spark, *[{"paper_id": f"p{i}", "title": " ".join(t), "authors": ", ".join(people("p", i)), "year": 2021} for i, t in enumerate(titles)])
+    x = preprints(spark, *[{"arxiv_id": f"x{i}", "title": " ".join(t), "authors": people("x", i), "submitted_at": f"{year(i)}-01-01T00:00:00Z"} for i, t in enumerate(others)])
+    common = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    equal = {(i, j) for i, a in enumerate(titles) for j, b in enumerate(others) if a == b and people("p", i)[0] == people("x", j)[0]}
+    done_p, done_x = {i for i, _ in equal}, {j for _, j in equal}
+    want = {
+        (f"p{i}", f"x{j}") for i, a in enumerate(titles) for j, b in enumerate(others)
+        if i not in done_p and j not in done_x and people("p", i)[0] == people("x", j)[0] and common(a, b) >= 0.5 and -2 <= 2021 - year(j) <= 5
+    }
+    assert {(f"p{i}", f"x{i}") for i in range(3)} <= want and len(want) > 100
+    assert {(r.paper_id, r.arxiv_id) for r in linkage.cascade(p, x).where("rule = 'blocked'").collect()} == want
+
+
+def test_sibling_by_body_with_other_people(spark):
+    body = "Stealthy packets reach the hypervisors of many networks and nobody has measured how often that happens in practice so we do it here."
+    p = papers(
+        spark, {"paper_id": "1", "title": "Stealthy Packets in Practice", "authors": "Ann Lorem, Bob Vurnaxis", "abstract": body},
+        {"paper_id": "2", "title": "Measuring Hypervisors", "authors": "Ann Lorem, Cy Dorvitan", "abstract": body}, {"paper_id": "3", "title": "Others", "authors": "Eve Mirdal", "abstract": body},
+    )
+    x = preprints(spark, {"arxiv_id": "a", "title": "Stealthy packets in practice", "authors": ["Ann Lorem", "Bob Vurnaxis"], "submitted_at": "2020-11-01T00:00:00Z"})
+    assert {(r.paper_id, r.arxiv_id, r.rule) for r in linkage.cascade(p, x).collect()} == {("1", "a", "title_authors"), ("2", "a", "sibling")}
+
+
 # --- 8 and 10 ------------------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def reference_encoding():
