@@ -23,14 +23,16 @@ from pyspark.sql import types as T
 from lumenbib.operators.graph import connected_components
 from lumenbib.session import cut
 
-#: At similarity 0.7 a pair shares a band with probability 0.93, at 0.75 with 0.99, at 0.8 with 0.999; at 0.2, usual
-#: among unrelated records, with 0.0004.
-BANDS, ROWS = 32, 7
+#: At similarity 0.7 a pair shares no band with probability 1e-5, at 0.75 with 5e-9; at 0.2, usual among unrelated
+#: records, it shares one with 0.002.
+BANDS, ROWS = 134, 7
+#: Bands whose minima make up the packed signature of the estimate.
+PACKED_BANDS = 32
 #: Bits kept of each minimum. Two unequal minima agree in them once in 2**BITS.
 BITS = 2
 THRESHOLD = 0.7
-#: The estimate has a standard deviation of about 0.04; candidates below the threshold by three of it are dropped.
-SLACK = 0.12
+#: The estimate has a standard deviation of about 0.04; candidates below the threshold by five of it are dropped.
+SLACK = 0.2
 SEED = 20240607
 
 _LANES = 0x5555555555555555
@@ -116,42 +118,42 @@ def estimate(a: str, b: str, count: int = BANDS * ROWS, bits: int = BITS) -> Col
 
 
 def similar_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``(a, b, similarity)`` of the records of ``sets (id, words)`` at or above the threshold, ``a < b``.
+    """``(a, b, similarity)`` of the records of ``sets (id, row, words)`` at or above the threshold, ``a < b``.
 
-    ``words`` holds distinct 64-bit hashes. Records are expected to differ in their word sets.
+    ``words`` holds distinct 64-bit hashes, ``row`` a number of the record that keeps its band rows short. Records are
+    expected to differ in their word sets.
     """
-    sig = cut(signatures(sets, "id", "words"))
-    keys = sig.select("id", F.explode("bands").alias("key"))
+    keys = signatures(sets, "row", "words").select("row", F.explode("bands").alias("key"))
     pairs = (
         keys.alias("x")
-        .join(keys.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")))
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        .join(keys.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.row") < F.col("y.row")))
+        .select(F.col("x.row").alias("ra"), F.col("y.row").alias("rb"))
         .distinct()
     )
-    packed = sig.select("id", "packed")
+    packed = cut(signatures(sets, "row", "words", PACKED_BANDS).select("row", "packed"))
     near = (
-        pairs.join(packed.select(F.col("id").alias("a"), F.col("packed").alias("pa")), "a")
-        .join(packed.select(F.col("id").alias("b"), F.col("packed").alias("pb")), "b")
-        .where(estimate("pa", "pb") >= threshold - SLACK)
-        .select("a", "b")
+        pairs.join(packed.select(F.col("row").alias("ra"), F.col("packed").alias("pa")), "ra")
+        .join(packed.select(F.col("row").alias("rb"), F.col("packed").alias("pb")), "rb")
+        .where(estimate("pa", "pb", PACKED_BANDS * ROWS) >= threshold - SLACK)
+        .select("ra", "rb")
     )
     common = F.size(F.array_intersect("wa", "wb"))
     return (
-        near.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-        .select("a", "b", (common / (F.size("wa") + F.size("wb") - common)).alias("similarity"))
+        near.join(sets.select(F.col("row").alias("ra"), F.col("id").alias("ia"), F.col("words").alias("wa")), "ra")
+        .join(sets.select(F.col("row").alias("rb"), F.col("id").alias("ib"), F.col("words").alias("wb")), "rb")
+        .select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), (common / (F.size("wa") + F.size("wb") - common)).alias("similarity"))
         .where(F.col("similarity") >= threshold)
     )
 
 
 def _classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """``members (id, rep)`` by equal word set, and ``sets (id, words)`` of the representatives."""
+    """``members (id, rep)`` by equal word set, and ``sets (id, row, words)`` of the representatives."""
     rows = df.select(F.col(key).alias("id"), word_set(F.col(text)).alias("ws")).where("id is not null and size(ws) > 0")
     rows = rows.select("id", F.md5(F.array_join("ws", " ")).alias("same"), F.transform("ws", lambda w: F.xxhash64(w)).alias("words")).distinct()
-    rows = cut(rows)
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     reps = rows.groupBy("same").agg(F.min("id").alias("rep"))
     members = rows.select("id", "same").join(reps, "same").select("id", "rep")
-    sets = rows.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "words")
+    sets = rows.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "row", "words")
     return members, sets
 
 

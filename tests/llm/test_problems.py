@@ -94,6 +94,15 @@ def test_estimate_is_corrected_for_collisions(spark):
     assert abs(got["0", "1"] - 1 / 3) < 0.15 and abs(got["0", "2"]) < 0.15
 
 
+def test_pairs_at_the_threshold_are_all_found(spark):
+    texts = []
+    for i in range(400):
+        common = [f"c{i}x{k}" for k in range(70)]
+        texts += [common + [f"l{i}x{k}" for k in range(15)], common + [f"r{i}x{k}" for k in range(15)]]
+    df = spark.createDataFrame([(f"{i:04}", " ".join(t)) for i, t in enumerate(texts)], "paper_id string, abstract string")
+    assert rows(minhash.duplicate_pairs(df, "paper_id", "abstract")) == [(f"{i:04}", f"{i + 1:04}") for i in range(0, 800, 2)]
+
+
 # --- 3 -------------------------------------------------------------------------------------------------------
 CANDIDATES = "cluster_id string, paper_id string, title string, authors string, year int, pages string, doi string, event string, retention_reason string, rank int, filled int"
 
