@@ -1,8 +1,9 @@
 """Problem 10: oversized documents cut at natural boundaries, with an overlap in tokens.
 
-Method: balanced targets. The least number of pieces that can hold a document is computed, cut points are
-placed so that pieces are of equal length, each is moved to the strongest boundary nearby, and a piece is
-added when a cut cannot reach a natural boundary within the limits although the piece has one.
+Method: balanced targets. For what is left of a document the least number of pieces that can hold it is computed, the
+next cut is aimed at an equal share and moved to the strongest boundary nearby. Where no boundary lies where that
+number of pieces allows, the last boundary in reach is taken instead, and a piece is thereby added. A cut falls
+inside a word only where its piece holds no boundary at all, at every length of document.
 
 A text has at most as many tokens as bytes, so texts of up to ``limit`` bytes are passed over before Python sees
 them. Every document is cut in its own row; nothing is shuffled. Null, empty and short texts give no pieces.
@@ -13,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,76 +34,74 @@ _WIDE = tuple(s.encode() for s in ("。", "！", "？", "、", "，"))
 _CLOSERS = tuple(s.encode() for s in ('"', "'", ")", "]", "”", "’", "»", "」"))
 
 
-def strength(data: bytes, at: int) -> int:
-    """How natural a cut before byte ``at`` is: 5 paragraph, 4 line, 3 sentence, 2 clause, 1 word, 0 none, -1 inside a character."""
-    if at >= len(data):
-        return 5
-    if data[at] & 0xC0 == 0x80:
-        return -1
-    head = data[max(0, at - 12) : at]
-    follows = data[at : at + 2]
-    if head.endswith(b"\n\n") or follows == b"\n\n":
-        return 5
-    if head.endswith(b"\n") or follows[:1] == b"\n":
-        return 4
-    spaced = follows[:1] in _SPACE or head[-1:] in _SPACE
-    bare = head.rstrip(_SPACE)
-    closed = bare
-    for _ in range(2):
-        closed = next((closed[: -len(c)] for c in _CLOSERS if closed.endswith(c)), closed)
-    if closed.endswith(_STOPS) and (spaced or bare.endswith(_WIDE)):
-        return 3
-    if bare.endswith(_PAUSES) and (spaced or bare.endswith(_WIDE)):
-        return 2
-    return 1 if spaced else 0
+class Boundaries:
+    """How natural a cut before each byte of a text is."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        # Just behind the last byte that is no white space, for every place: runs of any length are passed in one step.
+        solid = ~np.isin(np.frombuffer(data, dtype=np.uint8), np.frombuffer(_SPACE, dtype=np.uint8))
+        self.solid = np.maximum.accumulate(np.where(solid, np.arange(1, len(data) + 1), 0))
+
+    def strength(self, at: int) -> int:
+        """5 paragraph, 4 line, 3 sentence, 2 clause, 1 word, 0 none, -1 inside a character."""
+        data = self.data
+        if at >= len(data):
+            return 5
+        if data[at] & 0xC0 == 0x80:
+            return -1
+        head, follows = data[max(0, at - 2) : at], data[at : at + 2]
+        if head == b"\n\n" or follows == b"\n\n":
+            return 5
+        if head.endswith(b"\n") or follows[:1] == b"\n":
+            return 4
+        spaced = follows[:1] in _SPACE or head[-1:] in _SPACE
+        end = closed = int(self.solid[at - 1]) if at else 0
+        while sign := next((c for c in _CLOSERS if data.startswith(c, closed - len(c)) and closed >= len(c)), None):
+            closed -= len(sign)
+        ends_with = lambda signs, place: any(place >= len(c) and data.startswith(c, place - len(c)) for c in signs)
+        if ends_with(_STOPS, closed) and (spaced or ends_with(_WIDE, end)):
+            return 3
+        if ends_with(_PAUSES, end) and (spaced or ends_with(_WIDE, end)):
+            return 2
+        return 1 if spaced else 0
 
 
 def cut_points(data: bytes, ends: list[int], limit: int = LIMIT, overlap: int = OVERLAP, nearby: int = NEARBY) -> list[int]:
     """Token positions at which the pieces of a text end; ``ends`` holds the byte at which each token ends."""
-    n = len(ends)
+    n, fresh = len(ends), limit - overlap
     if n <= limit:
         return [n]
-    fresh = limit - overlap
-    pieces = 1 + -(-(n - limit) // fresh)
-    most = pieces + 2 + pieces // 4
-    while True:
-        cuts, last, failed = [], 0, False
-        for j in range(1, pieces):
-            # Equal lengths over the pieces that are left, counted with the overlap each of them repeats.
-            left = pieces - j + 1
-            start = last - overlap if last else 0
-            target = start + round((n - start + overlap * (left - 1)) / left)
-            low = max(last + 1, n - fresh * (pieces - j))
-            high = min(start + limit, n - 1)
-            if low > high:
-                failed = True
-                break
-            target = min(max(target, low), high)
-            best = _snap(data, ends, target, low, high, nearby)
-            if best is None and pieces < most and _snap(data, ends, high, last + 1, high, nearby) is not None:
-                failed = True
-                break
-            if best is None:
-                best = next((c for c in range(target, low - 1, -1) if strength(data, ends[c - 1]) >= 0), target)
-            cuts.append(best)
-            last = best
-        if not failed and n - (last - overlap) <= limit:
-            return [*cuts, n]
-        pieces += 1
-
-
-def _snap(data: bytes, ends: list[int], target: int, low: int, high: int, nearby: int) -> int | None:
+    at = Boundaries(data)
+    strength = lambda c: at.strength(ends[c - 1])
+    cuts, last = [], 0
+    while n - (start := last - overlap if last else 0) > limit:
+        # Equal lengths over the least number of pieces for the rest, counted with the overlap each of them repeats.
+        left = 1 + -(-(n - start - limit) // fresh)
+        low, high = max(last + 1, n - limit + overlap - fresh * (left - 2)), start + limit
+        target = min(max(start + -(-(n - start + overlap * (left - 1)) // left), low), high)
+        best = _snap(strength, target, low, high, nearby)
+        if best is None:
+            best = next((c for c in range(low - 1, last, -1) if strength(c) > 0), None)
+        if best is None:
+            best = next((c for c in range(target, last, -1) if strength(c) >= 0), target)
+        cuts.append(best)
+        last = best
+    return [*cuts, n]
+
+
+def _snap(strength, target: int, low: int, high: int, nearby: int) -> int | None:
     """The strongest boundary near the target, else the nearest boundary within the limits, else none."""
     best, rank = None, (0, 0)
     for c in range(max(low, target - nearby), min(high, target + nearby) + 1):
-        s = strength(data, ends[c - 1])
-        if s > 0 and (s, -abs(c - target)) > rank or s > 0 and best is None:
+        s = strength(c)
+        if s > 0 and (best is None or (s, -abs(c - target)) > rank):
             best, rank = c, (s, -abs(c - target))
     if best is not None:
         return best
     for d in range(nearby + 1, high - low + 1):
         for c in (target - d, target + d):
-            if low <= c <= high and strength(data, ends[c - 1]) > 0:
+            if low <= c <= high and strength(c) > 0:
                 return c
     return None
 
@@ -141,11 +141,11 @@ def split_documents(
                 raw = whole.encode("utf-8", "replace")
                 ends = list(accumulate(len(encoder.bytes_of[i]) for i in ids))
                 cuts = cut_points(raw, ends, limit, overlap)
-                start = 0
+                natural, start = Boundaries(raw), 0
                 for j, stop in enumerate(cuts):
                     begin = start - overlap if j else 0
                     piece = raw[ends[begin - 1] if begin else 0 : ends[stop - 1]].decode("utf-8", "replace")
-                    row = (k.as_py(), j, len(cuts), begin, stop - begin, strength(raw, ends[stop - 1]), ids[begin:stop].tolist(), piece)
+                    row = (k.as_py(), j, len(cuts), begin, stop - begin, natural.strength(ends[stop - 1]), ids[begin:stop].tolist(), piece)
                     for column, cell in zip(out, row, strict=True):
                         column.append(cell)
                     held += stop - begin
