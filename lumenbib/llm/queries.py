@@ -49,7 +49,7 @@ def _p4_found(s: SparkSession, d: str) -> DataFrame:
 
 
 def _p4_reasons(s: SparkSession, d: str) -> DataFrame:
-    return residue.residue(table(s, d, "papers"))
+    return residue.residue(table(s, d, "papers")).select("paper_id", F.array_join("evidence", ";").alias("evidence"))
 
 
 def _p5_found(s: SparkSession, d: str) -> DataFrame:
@@ -57,6 +57,12 @@ def _p5_found(s: SparkSession, d: str) -> DataFrame:
     return truncation.found(papers, cut(residue.found(papers)))
 
 
+def _p5_reasons(s: SparkSession, d: str) -> DataFrame:
+    papers = table(s, d, "papers")
+    rows = truncation.reasons(papers, cut(residue.found(papers)))
+    return rows.select("paper_id", F.array_join("evidence", ";").alias("evidence"))
+
+
 def _p5_sources(s: SparkSession, d: str) -> DataFrame:
     return truncation.source_shares(table(s, d, "abstract_log"))
 

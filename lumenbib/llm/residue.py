@@ -1,10 +1,13 @@
 """Problem 4: template residue, filler, error pages and page notices in place of, or around, a text.
 
 Method: address slug, title and body terms are compared, and mismatched, duplicated, low-information bodies
-are flagged by combined host evidence and placeholder detectors. Everything is a native expression; the only
-shuffle counts the masked signatures of short bodies, which are few.
+are flagged by combined host evidence and placeholder detectors. Every body, whatever its length, gets the same
+evidence: whether it shares a term with its title or slug, under how many titles its masked signature repeats,
+whether it names its own host, how many kinds of notice it holds and in what share of its sentences, and the shapes
+of placeholders and filler. Points are added up; a phrase alone decides nothing.
 
-Cases, defined: a null, empty or blank body is not a case; a body of any length is read whole; repeated rows
+Everything is a native expression; the only shuffle counts the signatures of bodies that share no term with their
+title. Cases, defined: a null, empty or blank body is not a case; a body of any length is read whole; repeated rows
 give one result row each; null title or address merely withdraw their evidence.
 """
 
@@ -35,21 +38,22 @@ PLACEHOLDERS = {
     "digits": r"\bX{2,}\s?%|\bX{3,}\b",
     "todo": r"\b(?:TODO|TBD|FIXME):",
 }
-# Phrases of error pages, demands for scripts, site notices, access walls and page furniture.
+# Phrases of error pages, demands for scripts, site notices, access walls and page furniture, by kind. A
+# pattern is tried where one of the words before it occurs.
 NOTICES = {
-    "noscript": r"\bnoscript\b",
-    "scripts": r"\bscript-capable\b|not run scripts|\b(?:enable|turn on|switch on|allow|activate)\b.{0,40}\b(?:javascript|scripts?|cookies)\b|\b(?:javascript|scripts)\b.{0,60}\b(?:allowed|enabled|switched on|turned on|to work properly)\b",
-    "browser": r"\byour (?:web )?browser\b|\bbrowser settings\b",
-    "cookies": r"\bwe use cookies\b|\baccept all\b|\breject all\b|\bmanage (?:your )?(?:preferences|choices|cookies)\b",
-    "terms": r"\bterms of (?:use|service)\b|\bprivacy (?:notice|policy)\b|\bby continuing\b",
-    "login": r"\b(?:sign|log) ?in\b|\bsession has expired\b|\bcreate a free account\b|\bfree account\b",
-    "wall": r"\blimited to subscribers\b|\bbuy the article\b|\bthrough your institution\b|\byou are viewing a preview\b",
-    "error": r"\berror code\b|\bbad gateway\b|\b404\b.{0,5}not found|\b\d{3} (?:forbidden|bad gateway|not found|service unavailable|internal server error)\b|\btemporarily unavailable\b|\btoo many requests\b|\bsomething went wrong\b|\bcould not be retrieved\b|\baccess denied\b|\(incident\b",
-    "blocked": r"\baddress has been blocked\b|\bsite policy\b|\bfrom this network\b",
-    "retry": r"\btry(?:ing)? again\b|\breload\b|\bif the problem persists\b|\bhelp desk\b|\bdown for maintenance\b",
-    "page": r"\bpage you (?:requested|are looking)\b|\brecord you are looking\b|\bstart page\b|\bthis (?:site|page|website|article page)\b|\bproxy node\b",
-    "robot": r"\byou are human\b|\bchecking your connection\b|\bthis may take a few seconds\b",
-    "furniture": r"\bskip to (?:main )?content\b|\bbasket \(\d+\)|\bdownload pdf\b|\b\d+ views\b|\bclick here\b|\ball rights reserved\b",
+    "noscript": (("noscript",), r"\bnoscript\b"),
+    "scripts": (("script", "cookies"), r"\bscript-capable\b|not run scripts|\b(?:enable|turn on|switch on|allow|activate)\b.{0,40}\b(?:javascript|scripts?|cookies)\b|\b(?:javascript|scripts)\b.{0,60}\b(?:allowed|enabled|switched on|turned on|to work properly)\b"),
+    "browser": (("browser",), r"\byour (?:web )?browser\b|\bbrowser settings\b"),
+    "cookies": (("cookies", "accept all", "reject all", "manage"), r"\bwe use cookies\b|\baccept all\b|\breject all\b|\bmanage (?:your )?(?:preferences|choices|cookies)\b"),
+    "terms": (("terms of", "privacy", "continuing"), r"\bterms of (?:use|service)\b|\bprivacy (?:notice|policy)\b|\bby continuing\b"),
+    "login": (("sign", "log", "session", "account"), r"\b(?:sign|log) ?in\b|\bsession has expired\b|\bcreate a free account\b|\bfree account\b"),
+    "wall": (("subscribers", "buy the", "institution", "preview"), r"\blimited to subscribers\b|\bbuy the article\b|\bthrough your institution\b|\byou are viewing a preview\b"),
+    "error": (("error", "gateway", "not found", "forbidden", "unavailable", "requests", "went wrong", "retrieved", "denied", "incident"), r"\berror code\b|\bbad gateway\b|\b404\b.{0,5}not found|\b\d{3} (?:forbidden|bad gateway|not found|service unavailable|internal server error)\b|\btemporarily unavailable\b|\btoo many requests\b|\bsomething went wrong\b|\bcould not be retrieved\b|\baccess denied\b|\(incident\b"),
+    "blocked": (("blocked", "site policy", "network"), r"\baddress has been blocked\b|\bsite policy\b|\bfrom this network\b"),
+    "retry": (("again", "reload", "persists", "help desk", "maintenance"), r"\btry(?:ing)? again\b|\breload\b|\bif the problem persists\b|\bhelp desk\b|\bdown for maintenance\b"),
+    "page": (("page", "record", "this site", "this website", "proxy"), r"\bpage you (?:requested|are looking)\b|\brecord you are looking\b|\bstart page\b|\bthis (?:site|page|website|article page)\b|\bproxy node\b"),
+    "robot": (("human", "connection", "seconds"), r"\byou are human\b|\bchecking your connection\b|\bthis may take a few seconds\b"),
+    "furniture": (("skip to", "basket", "download", "views", "click", "all rights"), r"\bskip to (?:main )?content\b|\bbasket \(\d+\)|\bdownload pdf\b|\b\d+ views\b|\bclick here\b|\ball rights reserved\b"),
 }
 # Bodies that only stand in for a missing text.
 STAND_INS = (
@@ -58,21 +62,36 @@ STAND_INS = (
 )
 # Frequent function words of the languages written in Latin letters that the corpus holds.
 FUNCTION_WORDS = (
-    "the of and to in a is that for on with as by we are be this an or which from it its our at has have not can "
-    "der die das und von zu den des mit für auf ist im eine ein nicht wir dass sich wie auch einer "
-    "le la les des et en du une un que dans pour est par sur nous au aux qui ces ont avec "
-    "el los las una del se con por para como lo al sus este entre sobre en y de o"
-).split()
+    "the", "of", "and", "to", "in", "a", "is", "that", "for", "on", "with", "as", "by", "we", "are", "be", "this", "an", "or", "which", "from", "it",
+    "its", "our", "at", "has", "have", "not", "can", "der", "die", "das", "und", "von", "zu", "den", "des", "mit", "für", "auf", "ist", "im", "eine",
+    "ein", "nicht", "wir", "dass", "sich", "wie", "auch", "einer", "le", "la", "les", "et", "en", "du", "une", "un", "que", "dans", "pour", "est",
+    "par", "sur", "nous", "au", "aux", "qui", "ces", "ont", "avec", "el", "los", "las", "una", "del", "se", "con", "por", "para", "como", "lo", "al",
+    "sus", "este", "entre", "sobre", "y", "de", "o",
+)
+
+#: Titles, told apart by their first word, under which one signature must stand to count as repeated.
+REPEATED = 3
+#: Points that make a page of a body: see :func:`residue`.
+PAGE_POINTS = 3
+#: Below this share of distinct words a text repeats itself; below this share of function words it is no prose.
+SCARCE, PROSE = 0.6, 0.2
 
-SHORT_WORDS = 60
+_SPACE = " \t\n\r\f\x0b"
 
 
 def _any(col: Column, patterns: dict[str, str], prefix: str = "") -> Column:
     return reduce(lambda a, b: a | b, [col.rlike(prefix + p) for p in patterns.values()])
 
 
-def _count(col: Column, patterns: dict[str, str], prefix: str = "") -> Column:
-    return reduce(lambda a, b: a + b, [col.rlike(prefix + p).cast("int") for p in patterns.values()])
+def _notices(col: Column) -> list[Column]:
+    """For each kind of notice, whether a text holds it."""
+    low = F.lower(col)
+    held = lambda words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+    return [F.when(held(words), low.rlike(pattern)).otherwise(False) for words, pattern in NOTICES.values()]
+
+
+def _notice(col: Column) -> Column:
+    return reduce(lambda a, b: a | b, _notices(col))
 
 
 def _terms(col: Column) -> Column:
@@ -90,7 +109,7 @@ def signature(col: Column) -> Column:
 def _edge_notice(col: Column) -> Column:
     """Whether a piece at the edge of a text speaks as the page around it, not about pages."""
     address = r"(?i)\bthis (?:site|page|website)\b|\byour (?:web )?browser\b|^\s*(?:please|click|skip|sign|log|accept|subscribe|share|download)\b"
-    return F.when(col.contains("|") | col.rlike(address), _any(col, NOTICES, "(?i)")).otherwise(False)
+    return F.when(col.contains("|") | col.rlike(address), _notice(col)).otherwise(False)
 
 
 def features(df: DataFrame, key: str, title: str, body: str, address: str) -> DataFrame:
@@ -99,82 +118,79 @@ def features(df: DataFrame, key: str, title: str, body: str, address: str) -> Da
     The costly tests stand behind cheap ones that nearly every ordinary text fails.
     """
     b = F.col("_b")
-    base = (
-        df.select(F.col(key).alias("key"), F.col(title).alias("_t"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("_b"), F.col(address).alias("_u"))
-        .where(b.isNotNull() & (b != ""))
-        .withColumn("n_words", F.size(F.split(b, r"\s+")))
-    )
-    short = F.col("n_words") <= SHORT_WORDS
-    words = F.filter(F.split(F.lower(b), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    base = df.select(F.col(key).alias("key"), F.col(title).alias("_t"), F.btrim(F.col(body), F.lit(_SPACE)).alias("_b"), F.col(address).alias("_u")).where(b.isNotNull() & (b != ""))
+    base = base.withColumn("_w", F.filter(F.split(F.lower(b), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    words = F.col("_w")
     u = F.coalesce("_u", F.lit(""))
     host = F.lower(F.regexp_extract(u, r"^[a-zA-Z][\w+.-]*://([^/:?#]+)", 1))
     slug = F.regexp_replace(u, r"^[a-zA-Z][\w+.-]*://[^/?#]*", "")
     head = F.substring_index(F.substring_index(b, "\n", 1), ". ", 1)
-    tail = F.substring_index(F.substring_index(F.regexp_replace(b, r"[.\s]+$", ""), "\n", -1), ". ", -1)
+    tail = F.substring_index(F.substring_index(F.rtrim(b, F.lit("." + _SPACE)), "\n", -1), ". ", -1)
     bare = F.trim(F.regexp_replace(F.lower(b), r"[^\p{L}]+", " "))
-    scarce = F.size(F.array_distinct(words)) <= 0.6 * F.size(words)
-    wordless = ~b.rlike(r"(?i)\b(?:" + "|".join(FUNCTION_WORDS) + r")\b")
+    units = F.filter(F.split(b, r"[.!?]\s+|\n+|\s\|\s"), lambda x: x != "")
+    scarce = F.size(F.array_distinct(words)) <= SCARCE * F.size(words)
+    function_word = lambda w: w.isin(*FUNCTION_WORDS)
+    prose = F.size(F.filter(words, function_word)) / F.size(words)
 
     def where(test: Column, value: Column) -> Column:
         return F.when(test, value).otherwise(False)
 
+    base = base.withColumn("_about", F.array_union(_terms(F.col("_t")), _terms(slug)))
+    base = base.withColumn("cues", reduce(lambda a, c: a + c, [k.cast("int") for k in _notices(b)]))
+    mismatch = (F.size("_about") > 0) & ~F.arrays_overlap(F.filter(words, lambda w: F.length(w) >= 4), "_about")
+    base = base.withColumn("mismatch", F.coalesce(mismatch, F.lit(False)))
     return base.select(
         "key",
         where(b.rlike(r"[{<\[@%]|__|XX|TODO|TBD|FIXME"), _any(b, PLACEHOLDERS, _MENTION)).alias("placeholder"),
-        F.when(short, _count(b, NOTICES, "(?i)")).otherwise(0).alias("cues"),
+        "cues",
+        where(F.col("cues") > 0, F.size(F.filter(units, _notice)) >= 0.5 * F.size(units)).alias("mostly"),
         (_edge_notice(head) | _edge_notice(tail)).alias("edge_notice"),
         where(
-            F.col("n_words") <= 12,
+            F.size(words) <= 12,
             bare.isin(*STAND_INS)
             | bare.rlike(r"\babstract\b")
             & bare.rlike(r"\b(?:no|not|missing|supplied|available|appear|add|insert|here|pending|follow|provided|written)\b"),
         ).alias("stand_in"),
         where(
-            b.rlike(r"\p{IsLatin}") & (F.col("n_words") >= 4) & (short | wordless),
-            short & scarce
-            | wordless & (scarce | (F.col("n_words") >= 10) & ~b.contains(","))
-            | F.forall(words, lambda w: w.rlike(r"^(.)\1*$")),
+            b.rlike(r"\p{IsLatin}") & (F.size(words) >= 4),
+            where(scarce, prose < PROSE) | where(~b.contains(",") & (F.size(words) >= 10), prose == 0) | F.forall(words, lambda w: w.rlike(r"^(.)\1*$")),
         ).alias("filler"),
-        where(short, F.size(F.array_intersect(_terms(b), F.array_union(_terms(F.col("_t")), _terms(slug)))) == 0).alias("mismatch"),
-        where(short & (host != ""), F.contains(F.lower(b), host)).alias("names_host"),
-        F.when(short, signature(b)).otherwise("").alias("signature"),
-        F.when(short, F.lower(F.element_at(F.split(F.trim(F.coalesce("_t", F.lit(""))), r"[^\p{L}\p{N}]+"), 1))).alias("_lead"),
+        "mismatch",
+        where(host != "", F.contains(F.lower(b), host)).alias("names_host"),
+        F.when(F.col("mismatch"), signature(b)).otherwise("").alias("signature"),
+        F.when(F.col("mismatch"), F.lower(F.element_at(F.split(F.trim(F.coalesce("_t", F.lit(""))), r"[^\p{L}\p{N}]+"), 1))).alias("_lead"),
     )
 
 
-def residue(df: DataFrame, key: str = "paper_id", title: str = "title", body: str = "abstract", address: str = "ee") -> DataFrame:
-    """``(key, reason)`` of every row whose body is residue or holds residue.
+def residue(df: DataFrame, key: str = "paper_id", title: str = "title", body: str = "abstract", address: str = "ee", phrases: bool = True) -> DataFrame:
+    """``(key, evidence)`` of every row whose body is residue or holds residue, with all its evidence.
 
-    Reasons: ``placeholder``, ``stand_in``, ``filler``, ``edge_notice``, ``page`` (two or more kinds of notice in a
-    short body), ``repeated_page`` (a short body unlike its title and slug, either with one notice or named
-    after its own host, whose masked signature stands under three or more different titles).
+    ``placeholder``, ``stand_in``, ``filler`` and ``edge_notice`` are cases by themselves. A body is a page at
+    PAGE_POINTS points: one for a notice, one for a second kind, one if most of its sentences are notices (``mostly``),
+    one if it shares no term with title and slug (``mismatch``), two if such a body's signature stands under REPEATED
+    titles (``repeated``), one if it names its host (``host``). Without ``phrases`` notices give no points and
+    no edge, which shows what the comparisons find alone.
     """
     # Written once: the narrow evidence is read for the repetitions and for the verdict, the texts only here.
     f = cut(features(df, key, title, body, address))
-    # Distinct leading title words per signature, counted once per pair; only short bodies take part.
+    if not phrases:
+        f = f.withColumns({"cues": F.lit(0), "mostly": F.lit(False), "edge_notice": F.lit(False)})
+    # Distinct leading title words per signature, counted once per pair.
     repeated = (
-        f.where("signature <> '' and mismatch")
-        .select("signature", "_lead")
-        .distinct()
-        .groupBy("signature")
-        .agg(F.count("*").alias("titles"))
-        .where("titles >= 3")
-    )
-    plain = f.withColumn(
-        "_sure", F.col("placeholder") | F.col("stand_in") | F.col("filler") | F.col("edge_notice") | (F.col("cues") >= 2)
-    )
-    sure = plain.where("_sure").select(
-        "key",
-        F.when(F.col("placeholder"), "placeholder")
-        .when(F.col("stand_in"), "stand_in")
-        .when(F.col("filler"), "filler")
-        .when(F.col("cues") >= 2, "page")
-        .otherwise("edge_notice")
-        .alias("reason"),
-    )
-    doubtful = plain.where("not _sure and mismatch and signature <> '' and (cues >= 1 or names_host)")
-    pages = doubtful.join(repeated, "signature", "left_semi").select("key", F.lit("repeated_page").alias("reason"))
-    return sure.unionByName(pages).withColumnRenamed("key", key)
+        f.where("signature <> ''").select("signature", "_lead").distinct().groupBy("signature").agg(F.count("*").alias("titles"))
+        .where(F.col("titles") >= REPEATED).select("signature", F.lit(True).alias("repeated"))
+    )
+    doubtful = f.where("signature <> ''").join(repeated, "signature", "left")
+    rows = f.where("signature = ''").withColumn("repeated", F.lit(False)).unionByName(doubtful)
+    again = F.coalesce("repeated", F.lit(False))
+    one = lambda test: F.when(test, 1).otherwise(0)
+    points = one(F.col("cues") >= 1) + one(F.col("cues") >= 2) + one(F.col("mostly")) + one(F.col("mismatch")) + 2 * one(again) + one(F.col("names_host"))
+    tests = {
+        "placeholder": F.col("placeholder"), "stand_in": F.col("stand_in"), "filler": F.col("filler"), "edge_notice": F.col("edge_notice"), "page": points >= PAGE_POINTS,
+        "notice": F.col("cues") >= 1, "mostly": F.col("mostly"), "mismatch": F.col("mismatch"), "repeated": again, "host": F.col("names_host"),
+    }
+    sure = reduce(lambda a, b: a | b, list(tests.values())[:5])
+    return rows.where(sure).select(F.col("key").alias(key), F.array_compact(F.array(*[F.when(t, n) for n, t in tests.items()])).alias("evidence"))
 
 
 def found(papers: DataFrame) -> DataFrame:
