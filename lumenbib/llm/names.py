@@ -1,13 +1,17 @@
 """Problem 1: spellings that mean the same person or organisation.
 
-Method: pigeonhole segment join. A family name with at most k edits keeps one of its k+1 segments, so each name is
-cut into segments, looked up position-shifted in an inverted index of segments, and verified by a banded edit
-distance. What varies besides edits (order, initials, nicknames, abbreviations, numbers) is parsed away first.
-
-All joins run on distinct names, families and givens, not on records. Spellings of one entity are found as
-components of a sparse graph of full names; initials hang on a component only if exactly one fits, so they
-never merge two people. Cases, defined: null and empty names and pieces that stand for others have no partner;
-repeated names count once; names that are cases of problem 6 are left out.
+Method: pigeonhole segment join. A name with at most k edits keeps one of its k+1 segments, so each name is cut into
+segments, looked up position-shifted in an inverted index of segments, and verified by a banded edit distance. What is
+accepted is one typing error: a letter too many, missing or other, or two letters turned round, which counts as two
+edits; so k is 2, and lengths and places shift by one. Families meet in such a join among names with the same first
+initial, given names among those of one family, own names of organisations among organisations. What varies besides
+edits (order, initials, nicknames, abbreviations, numbers) is parsed away first.
+
+All joins run on distinct names, families and givens, not on records, and no step pairs all givens of a family.
+Spellings of one entity are found as components of a sparse graph of full names; initials hang on a component only if
+exactly one fits, so they never merge two people. Cases, defined: null and empty names and pieces that stand for others
+have no partner; repeated names count once; names that are cases of problem 6 are left out, others in any writing are
+kept; a name of one or two letters has no edited form.
 """
 
 from __future__ import annotations
@@ -20,12 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenbib.llm.confusables import PLAIN
+from lumenbib.llm.confusables import consistent_forms
 from lumenbib.operators.graph import connected_components
 from lumenbib.session import cut
 
-#: Edits that a family name may carry. One transposition is two of them, so k is 2 and a name has 3 segments.
+#: Edits that a name may carry. One transposition is two of them, so k is 2 and a name has 3 segments.
 EDITS = 2
+#: Families below this length are alike only if the given names of the rarer one mostly stand with the other too: short
+#: names that differ by a letter are more often two names than one.
+SHORT_FAMILY = 5
 #: Given names that occur with a family: the share of the rarer one's families that the two must have in common.
 TOGETHER = 0.5
 #: Families in common from which two given names are taken for forms of one name although they differ much.
@@ -64,7 +71,7 @@ def spellings(papers: DataFrame, preprints: DataFrame) -> DataFrame:
     own = papers.select(F.explode(F.split("authors", ", ")).alias("name"))
     other = preprints.select(F.explode("authors").alias("name"))
     names = own.unionByName(other).where(F.col("name").isNotNull() & ~F.col("name").rlike(REMARK)).distinct()
-    return names.where(F.col("name").rlike(PLAIN))
+    return consistent_forms(names, "name").where(~F.col("affected")).select("name")
 
 
 def _org_map() -> dict[str, str]:
@@ -137,7 +144,11 @@ def _same_letters(a: Column, b: Column) -> Column:
 def one_edit(a: Column, b: Column) -> Column:
     """Whether one insertion, deletion, substitution or transposition turns ``a`` into ``b``; the distance is banded."""
     d = F.levenshtein(a, b, EDITS)
-    return (d >= 0) & ((d <= 1) | (d == 2) & (F.length(a) == F.length(b)) & _same_letters(a, b))
+    turned = F.exists(
+        F.sequence(F.lit(1), F.length(a) - 1),
+        lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a))) == b,
+    )
+    return (d >= 0) & ((d <= 1) | F.when((d == 2) & (F.length(a) == F.length(b)) & _same_letters(a, b), turned).otherwise(False))
 
 
 def parse(names: DataFrame) -> DataFrame:
@@ -149,7 +160,7 @@ def parse(names: DataFrame) -> DataFrame:
     read = cut(names.select("name", _read(F.col("name")).alias("r")).select("name", "r.*"))
     orgs = read.where("org").select("name", F.lit("org").alias("kind"), "number", "family", F.array_join("w", " ").alias("given"), F.lit("org").alias("initial"))
     people = _oriented(read.where("not org and (size(w) > 0 or family <> '')"))
-    letters = lambda t: F.translate(t, "-'’", "")
+    letters = lambda t: F.translate(t, "-‐'’", "")
     full = F.filter("g", lambda t: F.length(F.translate(t, "-", "")) >= 2)
     spelt = F.filter(full, lambda t: ~t.rlike("^.-.$"))
     people = people.select(
@@ -188,78 +199,118 @@ def _oriented(people: DataFrame) -> DataFrame:
     )
 
 
-def similar_families(families: DataFrame) -> DataFrame:
-    """``(f, f2)`` of families that share an initial and are one edit apart: the pigeonhole segment join.
+def _cuts(length: str) -> str:
+    """The segments of a name of a length as an array of (number, start, size), by integer arithmetic."""
+    n = EDITS + 1
+    return f"transform(sequence(0, {EDITS}), s -> named_struct('s', s, 'at', s * {length} div {n}, 'len', (s + 1) * {length} div {n} - s * {length} div {n}))"
+
+
+def segment_join(values: DataFrame, within: list[str], value: str) -> DataFrame:
+    """``(within..., v, v2)`` of values one typing error apart, ``v < v2``: the pigeonhole segment join.
 
-    ``families`` holds distinct ``(family, initial)``. Segments of the one are looked up among the substrings of
-    the other at starts shifted by one, which is what one edit before them can move; lengths may differ by one.
+    Segments of the one are looked up among the substrings of the other at starts shifted by one, which is what one
+    edit before them can move; lengths may differ by one. Nothing is compared that shares no segment at its place, so
+    a group of ``within`` is never paired with itself. Values of fewer than three letters have no three segments.
     """
-    n = EDITS + 1
-    cutting = f"transform(sequence(0, {n - 1}), s -> named_struct('s', s, 'at', cast(floor(s * length(family) / {n}) as int), 'len', cast(floor((s + 1) * length(family) / {n}) - floor(s * length(family) / {n}) as int)))"
-    base = families.where(f"length(family) >= {2 * n - 1}")
-    index = (
-        base.select("family", "initial", F.explode(F.expr(cutting)).alias("c"))
-        .select("family", "initial", F.col("c.s").alias("s"), F.length("family").alias("n"), F.expr("substring(family, c.at + 1, c.len)").alias("seg"))
-    )
+    base = values.select(*within, F.col(value).alias("v")).distinct().where(F.length("v") > EDITS)
+    piece = lambda shift: f"substring(v, c.at + {shift} + 1, c.len)"
+    index = base.select(*within, "v", F.length("v").alias("n"), F.explode(F.expr(_cuts("length(v)"))).alias("c"))
+    index = index.select(*within, "v", "n", F.col("c.s").alias("s"), F.expr(piece(0)).alias("seg"))
     # For every length the other name may have, its segments' places, shifted by what the edits before may move.
-    probe = (
-        base.select("family", "initial", F.explode(F.expr("sequence(length(family) - 1, length(family) + 1)")).alias("n"))
-        .select("family", "initial", "n", F.explode(F.expr(cutting.replace("length(family)", "n"))).alias("c"))
-        .select("family", "initial", "n", "c", F.explode(F.expr("sequence(-1, 1)")).alias("d"))
-    )
-    probe = probe.where("c.at + d >= 0 and c.at + d + c.len <= length(family)").select(
-        F.col("family").alias("f2"), "initial", "n", F.col("c.s").alias("s"), F.expr("substring(family, c.at + d + 1, c.len)").alias("seg")
-    )
-    pairs = index.join(probe.distinct(), ["initial", "s", "n", "seg"]).where(F.col("family") < F.col("f2"))
-    pairs = pairs.select(F.col("family").alias("f"), "f2").distinct()
-    return pairs.where(one_edit(F.col("f"), F.col("f2")))
+    probe = base.select(*within, F.col("v"), F.explode(F.expr(f"sequence(greatest(length(v) - 1, {EDITS + 1}), length(v) + 1)")).alias("n"))
+    probe = probe.select(*within, "v", "n", F.explode(F.expr(_cuts("n"))).alias("c")).select(*within, "v", "n", "c", F.explode(F.expr("sequence(-1, 1)")).alias("d"))
+    probe = probe.where("c.at + d >= 0 and c.at + d + c.len <= length(v)").select(*within, F.col("v").alias("v2"), "n", F.col("c.s").alias("s"), F.expr(piece("d")).alias("seg"))
+    met = index.join(probe.distinct(), [*within, "s", "n", "seg"]).where(one_edit(F.col("v"), F.col("v2")))
+    return met.select(*within, F.least("v", "v2").alias("v"), F.greatest("v", "v2").alias("v2")).where("v < v2").distinct()
 
 
-def _similar_givens(full: DataFrame) -> DataFrame:
-    """``(g, g2)`` of full given names that are forms of one name, judged by the families they share.
+def similar_families(families: DataFrame) -> DataFrame:
+    """``(f, f2)`` of families that share an initial and are one typing error apart; ``families (family, initial)``."""
+    return segment_join(families, ["initial"], "family").select(F.col("v").alias("f"), F.col("v2").alias("f2")).distinct()
 
-    ``full`` holds distinct ``(kind, family, given)``. Two givens within a family are compared; a typing error is
-    accepted when the rarer form seldom stands without the other, a nickname by table or by habit.
+
+def _supported(near: DataFrame, full: DataFrame) -> DataFrame:
+    """``near`` without pairs of short families whose given names do not mostly stand with both."""
+    short = near.where(F.least(F.length("f"), F.length("f2")) < SHORT_FAMILY)
+    people = full.where("kind = 'person'").select("family", "given").distinct()
+    uses = people.groupBy("family").agg(F.count("*").alias("n"))
+    both = short.join(people.withColumnRenamed("family", "f"), "f").join(people.withColumnRenamed("family", "f2"), ["f2", "given"]).groupBy("f", "f2").agg(F.count("*").alias("both"))
+    both = both.join(uses.select(F.col("family").alias("f"), "n"), "f").join(uses.select(F.col("family").alias("f2"), F.col("n").alias("n2")), "f2")
+    kept = both.where(F.col("both") / F.least("n", "n2") >= TOGETHER).select("f", "f2")
+    return near.where(F.least(F.length("f"), F.length("f2")) >= SHORT_FAMILY).select("f", "f2").unionByName(kept)
+
+
+def _learned(people: DataFrame, uses: DataFrame) -> DataFrame:
+    """``(g, g2)`` of givens that share LEARNED families and TOGETHER of the rarer one's, however they differ.
+
+    An exact prefix filter: such a pair shares a family among the rarest half of the rarer given's families, so only
+    those are joined, and givens of fewer families not at all. The half is bounded by a quantile from above, so that
+    no list of families is gathered; a family with very many givens stands in few of these halves.
+    """
+    often = people.join(uses.where(F.col("n") >= LEARNED), "given")
+    weight = often.groupBy("family").agg(F.count("*").alias("w"))
+    often = cut(often.join(weight.where("w > 1"), "family"))
+    half = often.groupBy("given").agg(F.percentile_approx("w", F.lit(1 - TOGETHER / 2), F.lit(10_000)).alias("limit"))
+    rare = often.join(half, "given").where("w <= limit").select("family", "given", "n")
+    met = rare.join(often.select("family", F.col("given").alias("g2"), F.col("n").alias("n2")), "family")
+    met = met.where("given <> g2 and n <= n2").select("given", "g2", "n").distinct()
+    both = met.join(often.select("given", "family"), "given").join(often.select(F.col("given").alias("g2"), "family"), ["g2", "family"]).groupBy("given", "g2", "n").agg(F.count("*").alias("both"))
+    ok = (F.col("both") >= LEARNED) & (F.col("both") / F.col("n") >= TOGETHER)
+    return both.where(ok).select(F.least("given", "g2").alias("g"), F.greatest("given", "g2").alias("g2")).distinct()
+
+
+def given_edges(full: DataFrame) -> DataFrame:
+    """``(family, g, g2)``: given names of one family that are forms of one name.
+
+    A typing error, found by the segment join within the family, is accepted when the rarer form seldom stands without
+    the other; a nickname by table; other forms by the habit of standing with the same families.
     """
-    people = full.where("kind = 'person'").select("family", "given")
-    # The families of a given name are many, the given names of a family few.
-    pairs = people.join(people.select("family", F.col("given").alias("g2")), "family").where("given < g2")
-    counts = pairs.groupBy("given", "g2").agg(F.count("*").alias("both"))
-    uses = people.groupBy("given").agg(F.count("*").alias("n"))
-    counts = counts.join(uses, "given").join(uses.select(F.col("given").alias("g2"), F.col("n").alias("n2")), "g2")
-    share = F.col("both") / F.least("n", "n2")
-    edit = (F.length("given") >= 3) & (F.length("g2") >= 3) & one_edit(F.col("given"), F.col("g2"))
-    table = F.array(*[F.lit(f"{min(a, b)} {max(a, b)}") for a, short in NICKNAMES.items() for b in short.split()])
-    nick = F.array_contains(table, F.concat_ws(" ", "given", "g2"))
-    ok = nick | edit & (share >= TOGETHER) | (share >= TOGETHER) & (F.col("both") >= LEARNED)
-    return counts.where(ok).select(F.col("given").alias("g"), "g2")
+    people = cut(full.where("kind = 'person'").select("family", "given").distinct())
+    uses = cut(people.groupBy("given").agg(F.count("*").alias("n")))
+    typed = cut(segment_join(people, ["family"], "given"))
+    share = typed.groupBy("v", "v2").agg(F.count("*").alias("both")).join(uses.select(F.col("given").alias("v"), "n"), "v").join(uses.select(F.col("given").alias("v2"), F.col("n").alias("n2")), "v2")
+    ok = share.where(F.col("both") / F.least("n", "n2") >= TOGETHER).select("v", "v2")
+    edits = typed.join(ok, ["v", "v2"]).select("family", F.col("v").alias("g"), F.col("v2").alias("g2"))
+    # Fixed and small: each nickname with its full forms.
+    table = people.sparkSession.createDataFrame([(long, short) for long, shorts in NICKNAMES.items() for short in shorts.split()], "g string, g2 string")
+    nicks = people.withColumnRenamed("given", "g").join(F.broadcast(table), "g").join(people.withColumnRenamed("given", "g2"), ["family", "g2"])
+    habits = _learned(people, uses).join(people.withColumnRenamed("given", "g"), "g").join(people.withColumnRenamed("given", "g2"), ["family", "g2"])
+    return edits.unionByName(nicks.select("family", "g", "g2")).unionByName(habits.select("family", "g", "g2")).distinct()
+
+
+def _within(orgs: DataFrame, near: DataFrame) -> DataFrame:
+    """``(src, dst)`` of organisations with like own names where the known words of one are among the other's.
+
+    The words of one are looked up by its rarest word only, among own names that are equal or one edit apart.
+    """
+    words = F.split("given", " ")
+    weight = orgs.select(F.explode(words).alias("t")).groupBy("t").agg(F.count("*").alias("w"))
+    listed = orgs.select("family", "given", F.explode(words).alias("t"))
+    first = listed.join(weight, "t").groupBy("family", "given").agg(F.min_by("t", F.struct("w", "t")).alias("t"))
+    same = first.select("family", "given", "t", F.col("family").alias("f2"))
+    other = first.join(near.withColumnRenamed("f", "family"), "family").select("family", "given", "t", "f2")
+    met = same.unionByName(other).join(listed.select(F.col("family").alias("f2"), F.col("given").alias("g2"), "t"), ["f2", "t"])
+    inside = F.size(F.array_except(F.split("given", " "), F.split("g2", " "))) == 0
+    node = lambda f, g: F.concat_ws("\x01", F.lit("org"), f, g)
+    return met.where(inside).select(node("family", "given").alias("src"), node("f2", "g2").alias("dst")).where("src <> dst")
 
 
 def entities(names: DataFrame) -> DataFrame:
     """``(name, entity)`` of every parsed spelling; spellings of one entity share it."""
     parsed = cut(parse(names))
     key = lambda f, g: F.concat_ws("\x01", "kind", f, g)
-    families = parsed.where("kind = 'person' or family <> ''").select("kind", "family", "initial").distinct()
-    near = cut(similar_families(families.select("family", "initial").distinct()))
     full = cut(parsed.where("given <> ''").select("kind", "family", "given", "initial").distinct())
-
-    # Edges between full names: other given form in one family, and one family edited under a like given name.
-    forms = _similar_givens(full)
-    forms = cut(forms.unionByName(forms.select(F.col("g2").alias("g"), F.col("g").alias("g2"))))
-    same_family = full.join(full.select("kind", "family", F.col("given").alias("g2")), ["kind", "family"]).where("given < g2")
-    people = same_family.where("kind = 'person'").join(forms.withColumnRenamed("g", "given"), ["given", "g2"], "left_semi")
-    contained = F.size(F.array_except(F.split("given", " "), F.split("g2", " "))) * F.size(F.array_except(F.split("g2", " "), F.split("given", " "))) == 0
-    orgs = same_family.where("kind = 'org'").where(contained)
+    near = cut(_supported(similar_families(parsed.select("family", "initial").distinct()), full))
     both = near.unionByName(near.select(F.col("f2").alias("f"), F.col("f").alias("f2")))
-    other = full.join(both.withColumnRenamed("f", "family"), "family").join(
-        full.select(F.col("family").alias("f2"), F.col("given").alias("g2"), F.col("kind").alias("k2"), F.col("initial").alias("i2")), "f2"
-    ).where("kind = k2 and family < f2")
-    edited = other.where((F.col("given") == F.col("g2")) | (F.col("kind") == "org") & contained)
-    edges = (
-        people.unionByName(orgs, allowMissingColumns=True).select(key("family", "given").alias("src"), key("family", "g2").alias("dst"))
-        .unionByName(edited.select(key("family", "given").alias("src"), key("f2", "g2").alias("dst")))
-    )
-    comps = connected_components(edges)
+
+    # Edges between full names: other given form in one family, and one family edited under the same given name.
+    person = lambda f, g: F.concat_ws("\x01", F.lit("person"), f, g)
+    forms = given_edges(full).select(person("family", "g").alias("src"), person("family", "g2").alias("dst"))
+    people = full.where("kind = 'person'").select("family", "given").distinct()
+    edited = people.join(near.withColumnRenamed("f", "family"), "family").join(people.withColumnRenamed("family", "f2"), ["f2", "given"])
+    edited = edited.select(person("family", "given").alias("src"), person("f2", "given").alias("dst"))
+    orgs = _within(full.where("kind = 'org'").select("family", "given").distinct(), both)
+    comps = connected_components(forms.unionByName(edited).unionByName(orgs))
     nodes = full.withColumn("node", key("family", "given")).join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     nodes = cut(nodes.select("kind", "family", "given", "initial", "component"))
 
