@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenbib.llm.folding import fold
-from lumenbib.session import cut
+from lumenbib.session import broadcast_if_small, cut
 
 # Remarks on the state of a manuscript that are no part of its title.
 REMARKS = r"[\(\[]\s*(?:draft|preprint|pre-print|extended version|extended abstract|full version|working paper|technical report|v\d+|version \d+)\s*[\)\]]"
@@ -27,6 +27,11 @@ TITLE_LIKE, AUTHOR_LIKE = 0.5, 0.5
 #: Pseudo-counts of the smoothed precision.
 PRIOR_HITS, PRIOR_MISSES = 1.0, 1.0
 
+#: Pairs that one key value may make; beyond it its records meet by further words.
+HOT_PAIRS = 10_000
+#: Hot values up to this count are broadcast; beyond it the joins on them shuffle.
+MAX_BROADCAST_KEYS = 100_000
+
 RULES = ("title_authors", "body_authors", "subtitle_authors", "title_only", "all_authors", "blocked", "sibling")
 
 
@@ -125,8 +130,39 @@ def _near_titles(papers: DataFrame, preprints: DataFrame) -> DataFrame:
     return blocks(p, "pid").join(blocks(x, "xid"), "b").where(sizes).select("pid", "xid").distinct()
 
 
+def _exact_pairs(p: DataFrame, x: DataFrame, kinds: list[str]) -> DataFrame:
+    """``(pid, xid, ks)``: records that share the value of some key, and the keys.
+
+    A value that many records of both sides hold (a usual title, a prolific team) is not paired with itself: its
+    records meet by a name in common, or under the key of names by a title word in common, without which no rule
+    accepts them. Papers that have no names to share, which a title alone can match, are paired as they are.
+    """
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        parts = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).alias("v"), (F.col("content") if k == "people" else F.col("words")).alias("w")) for k in kinds])).alias("e")
+        return df.select(F.col("id").alias(name), F.size("words").alias("n"), parts).select(name, "n", "e.k", "e.v", "e.w").where("v is not null")
+
+    left, right = keyed(p, "pid"), keyed(x, "xid")
+    sizes = [side.groupBy("k", "v").agg(F.count("*").alias(n)) for side, n in ((left, "np"), (right, "nx"))]
+    hot = cut(sizes[0].join(sizes[1], ["k", "v"]).where(F.col("np") * F.col("nx") > HOT_PAIRS).select("k", "v"))
+    many = hot.count()
+    plain = left.select("pid", "k", "v").join(right.select("xid", "k", "v"), ["k", "v"])
+    if many:
+        few = broadcast_if_small(hot, many, MAX_BROADCAST_KEYS)
+        left_hot, right_hot = left.join(few, ["k", "v"], "left_semi"), right.join(few, ["k", "v"], "left_semi")
+        worded = lambda side, name: side.select(name, "k", "v", F.explode("w").alias("w"))
+        met = worded(left_hot, "pid").join(worded(right_hot, "xid"), ["k", "v", "w"]).select("k", "v", "pid", "xid").distinct()
+        bare = left_hot.where("k = 'title' and n <= 1").select("pid", "k", "v").join(right_hot.select("xid", "k", "v"), ["k", "v"])
+        cool = left.select("pid", "k", "v").join(few, ["k", "v"], "left_anti").join(right.select("xid", "k", "v"), ["k", "v"])
+        plain = cool.unionByName(met).unionByName(bare)
+    return plain.groupBy("pid", "xid").agg(F.collect_set("k").alias("ks"))
+
+
 def cascade(papers: DataFrame, preprints: DataFrame) -> DataFrame:
-    """``(paper_id, arxiv_id, rule, confidence)`` of every match.
+    """``(paper_id, arxiv_id, rule, confidence, labelled)`` of every match.
+
+    confidence is the smoothed precision of the rule on the pairs whose DOI tells the truth, labelled how many they
+    are; a rule with none has the precision of the prior alone, and 0 says so.
 
     The exact rules share one join on (rule, key) of ids only; the attributes for their residual comparisons are
     joined to the candidates once. That each paper keeps the matches of its first successful rule is what an
@@ -146,9 +182,7 @@ def cascade(papers: DataFrame, preprints: DataFrame) -> DataFrame:
         "title_only": ("title", (F.size("p_words") <= 1) & (F.size("p_content") >= 4) & when),
         "all_authors": ("people", (titles >= TITLE_LIKE) & when),
     }
-    kinds = sorted({on for on, _ in rules.values()})
-    exact = lambda df, name: df.select(F.col("id").alias(name), F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).alias("v")) for k in kinds])).alias("e")).select(name, "e.k", "e.v").where("v is not null")
-    pairs = exact(p, "pid").join(exact(x, "xid"), ["k", "v"]).groupBy("pid", "xid").agg(F.collect_set("k").alias("ks"))
+    pairs = _exact_pairs(p, x, sorted({on for on, _ in rules.values()}))
     both = pairs.join(left, F.col("pid") == F.col("p_id")).join(right, F.col("xid") == F.col("x_id"))
     rank = F.coalesce(*[F.when(F.array_contains("ks", on) & test, F.lit(i)) for i, (on, test) in enumerate(rules.values())])
     ranked = cut(both.select("pid", "xid", rank.alias("r")).where("r is not null").groupBy("pid", "xid").agg(F.min("r").alias("r")))
@@ -178,11 +212,11 @@ def cascade(papers: DataFrame, preprints: DataFrame) -> DataFrame:
         x.where("doi is not null").select(F.col("id").alias("xid"), F.col("doi").alias("xd")).distinct(), "xid"
     )
     precision = labelled.groupBy("rule").agg(
-        ((F.count_if(F.col("pd") == F.col("xd")) + PRIOR_HITS) / (F.count("*") + PRIOR_HITS + PRIOR_MISSES)).alias("confidence")
+        ((F.count_if(F.col("pd") == F.col("xd")) + PRIOR_HITS) / (F.count("*") + PRIOR_HITS + PRIOR_MISSES)).alias("confidence"), F.count("*").alias("labelled")
     )
     default = PRIOR_HITS / (PRIOR_HITS + PRIOR_MISSES)
     return matches.join(F.broadcast(precision), "rule", "left").select(
-        F.col("pid").alias("paper_id"), F.col("xid").alias("arxiv_id"), "rule", F.coalesce("confidence", F.lit(default)).alias("confidence")
+        F.col("pid").alias("paper_id"), F.col("xid").alias("arxiv_id"), "rule", F.coalesce("confidence", F.lit(default)).alias("confidence"), F.coalesce("labelled", F.lit(0)).alias("labelled")
     )
 
 
