@@ -20,7 +20,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
-        self.store = dml.VersionedStore(spark, root)
+        self.store = dml.VersionedStore(spark, root, key="paper_id")
 
     def papers(self) -> DataFrame:
         """The current papers; an error if there is no corpus."""
@@ -32,14 +32,34 @@ class Engine:
     def _save(self, papers: DataFrame) -> str:
         return self.store.write(papers)
 
+    def _merge(self, batch: DataFrame) -> str:
+        return self.store.merge(batch, dml.upsert, self.spark.createDataFrame([], PAPER))
+
     def ingest(self, listing_path: str) -> str:
         """Listing files into the corpus: first record of each id, editorships dropped, upserted."""
         rows = sources.listing_papers(sources.read_listing_json(self.spark, listing_path))
-        return self._save(dml.upsert(self._current(), records.consolidated(rows, "paper_id", "file", "position")))
+        return self._merge(records.consolidated(rows, "paper_id", "file", "position"))
 
     def import_csv(self, path: str) -> str:
         rows = sources.read_paper_csv(self.spark, path).withColumn("_at", F.monotonically_increasing_id())
-        return self._save(dml.upsert(self._current(), dml.fold_batch(conform(rows, BATCH), "_at")))
+        return self._merge(dml.fold_batch(conform(rows, BATCH), "_at"))
+
+    def bootstrap(self, csv: str) -> bool:
+        """Loads a CSV if the corpus is missing or empty; whether it did."""
+        if self.store.exists() and not self.store.read().isEmpty():
+            return False
+        self.import_csv(csv)
+        return True
+
+    def run_all(self, listing_path: str, payloads: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+        """Ingest, abstracts from services and pages, and entries, in this order; returns the totals."""
+        self.ingest(listing_path)
+        if payloads is not None:
+            self.enrich_from_services(payloads)
+        if pages is not None:
+            self.enrich_from_pages(pages)
+        self.bibtex()
+        return self.stats()["totals"]
 
     def fill_abstracts(self, path: str) -> DataFrame:
         """Empty abstracts from a CSV; returns the counts of the import."""
@@ -81,9 +101,22 @@ class Engine:
         return {"totals": aggregates.totals(own), "by_event": aggregates.coverage_by(own, "event"), "by_year": aggregates.counts_by(own, "year"), "by_class": aggregates.counts_by_class(own)}
 
     def snapshot(self, path: str) -> str:
-        """Copies the current version to another store."""
-        return dml.VersionedStore(self.spark, path).write(self.papers())
+        """Copies the current version to another store, compressed, and notes both as synchronised."""
+        other = dml.VersionedStore(self.spark, path)
+        version = other.write(self.papers(), compression="gzip")
+        self.store.mark_synced(other)
+        return version
 
     def refresh(self, path: str) -> str:
-        """Takes over the current version of another store."""
-        return self._save(dml.VersionedStore(self.spark, path).read())
+        """Takes over the current version of another store, whatever has changed here."""
+        other = dml.VersionedStore(self.spark, path)
+        version = self._save(other.read())
+        self.store.mark_synced(other)
+        return version
+
+    def refresh_if_due(self, path: str) -> str:
+        """Takes a newer snapshot over where nothing has changed here; returns the decision."""
+        decision = self.store.refresh_decision(dml.VersionedStore(self.spark, path))
+        if decision == "refresh":
+            self.refresh(path)
+        return decision

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -16,9 +16,10 @@ from lumenbib.functions.text import collapse, unescape_entities
 MIN_LENGTH = 100
 # Words that services return in place of a text.
 NON_TEXTS = ("true", "false", "null", "undefined", "error")
-# Fixed value: one name with its affiliation, and the separator behind it.
-AUTHOR_BLOCK = re.compile(r"[A-Za-zÀ-ÿ][\w\.\-'\sÀ-ÿ]*?\(([^)]{2,120})\)\s*([,;]?)\s*")
-MAX_BLOCKS = 31
+# Fixed value: one name with its affiliation in brackets.
+AUTHOR_BLOCK = r"[A-Za-zÀ-ÿ][\w\.\-'\sÀ-ÿ]*?\([^)]{2,120}\)"
+#: A leading list: up to 31 authors with a separator behind each but the last, or a last one without.
+AUTHOR_LIST = re.compile(rf"(?:{AUTHOR_BLOCK}\s*[,;]\s*){{1,30}}{AUTHOR_BLOCK}\s*[,;]?\s*")
 
 
 def is_valid_abstract(text: Column, least: int = MIN_LENGTH) -> Column:
@@ -28,16 +29,9 @@ def is_valid_abstract(text: Column, least: int = MIN_LENGTH) -> Column:
 
 def without_author_blocks(text: str) -> str:
     """``text`` after a leading list of two or more authors with affiliations, if a long rest remains."""
-    taken, at = 0, 0
-    for block in iter(lambda: AUTHOR_BLOCK.match(text, at), None):
-        listed = block.group(2) != ""
-        if block.end() == at or not listed and taken == 0:
-            break
-        at, taken = block.end(), taken + 1
-        if not listed or taken >= MAX_BLOCKS:
-            break
-    rest = text[at:].lstrip()
-    return rest if taken >= 2 and len(rest) >= MIN_LENGTH else text
+    listed = AUTHOR_LIST.match(text)
+    rest = text[listed.end() :].lstrip() if listed else ""
+    return rest if len(rest) >= MIN_LENGTH else text
 
 
 @F.pandas_udf(T.StringType())
@@ -76,7 +70,7 @@ def from_inverted_index(index: Column, strict: bool = True) -> Column:
 def from_jats(text: Column) -> Column:
     """Text of a tagged abstract without its headings; null if short."""
     t = F.regexp_replace(text, r"(?s)<jats:title>.*?</jats:title>", "")
-    t = collapse(F.regexp_replace(F.regexp_replace(t, r"</?jats:[a-z]+>", " "), r"<.*?>", " "))
+    t = collapse(F.regexp_replace(F.regexp_replace(t, r"</?jats:[a-z]+>", ""), r"<.*?>", ""))
     return F.when(F.length(t) >= MIN_LENGTH, t)
 
 
@@ -124,48 +118,81 @@ class _Blocks(HTMLParser):
                 self.nodes[k]["text"].append(data)
 
 
-def _texts(page: str, tag: str | None, by: Callable[[dict], bool], inner: str | None = None) -> list[str]:
-    parser = _Blocks()
-    parser.feed(page)
-    parser.close()
-    out = []
-    for i, node in enumerate(parser.nodes):
-        if (tag is None or node["tag"] == tag) and by(node):
-            if inner is None:
-                out.append(" ".join("".join(node["text"]).split()))
-            else:
-                out.append("\x00".join(" ".join("".join(n["text"]).split()) for n in parser.nodes if n["tag"] == inner and i in n["up"]))
-    return out
+@dataclass(frozen=True)
+class Place:
+    """Where a publisher keeps the abstract: elements by tag and attribute, and which of their paragraphs.
+
+    Without ``paragraphs`` the text of the first element counts; with them the slice ``[first:last]`` of the paragraphs
+    in all elements (or in the first one below ``below``), joined by spaces.
+    """
+
+    tag: str | None
+    attribute: str = ""
+    value: str = ""
+    exact: bool = False
+    paragraphs: bool = True
+    first: int = 0
+    last: int | None = None
+    below: str | None = None
+    outside: str | None = None
 
+    def fits(self, node: dict) -> bool:
+        held = node[self.attribute] if self.attribute else ""
+        return self.tag in (None, node["tag"]) and (held == self.value if self.exact else self.value in held)
 
-# Where each publisher keeps the abstract: (tag, attribute, value, exact, inner tag, from, to).
+
+# The places of each publisher, in order.
 PLACES = {
-    "acm": [(None, "id", "abstract", True, None, 0, None), ("div", "class", "abstract", False, None, 0, None), ("section", "class", "abstract", False, None, 0, None)],
-    "usenix": [("div", "class", "field-name-field-paper-description", False, "p", 0, None), ("section", "class", "", False, "p", 1, -1), ("div", "class", "content", True, "p", 0, None)],
-    "ndss": [("div", "class", "paper-data", True, "p", 1, None), ("div", "id", "abstract", True, "p", 0, None), ("section", "class", "abstract", False, "p", 0, None), ("div", "class", "abstract", False, "p", 0, None)],
+    "acm": [
+        Place(None, "id", "abstract", exact=True, paragraphs=False), Place("div", "class", "abstract", paragraphs=False), Place("section", "class", "abstract", paragraphs=False),
+        Place("div", "class", "abstractInFull", paragraphs=False), Place("div", "class", "abstractSection", exact=True, paragraphs=False), Place("div", "class", "abstractText", paragraphs=False),
+    ],
+    "usenix": [
+        Place("div", "class", "field-name-field-paper-description"), Place("section", first=1, last=-1, below="main"), Place("section", first=1, last=2, below="main"),
+        Place("div", "class", "content", exact=True, first=0, last=1, outside="header"),
+    ],
+    "ndss": [Place("div", "class", "paper-data", exact=True, first=1), Place("div", "id", "abstract", exact=True), Place("section", "class", "abstract"), Place("div", "class", "abstract")],
 }
 
 
-def page_abstract(page: str, extractor: str) -> str | None:
+def register_places(extractor: str, places: list[Place]) -> None:
+    """Adds an extractor, or replaces one; its name is what :func:`abstract_of_page` is given."""
+    PLACES[extractor] = places
+
+
+def _texts(nodes: list[dict], place: Place) -> str:
+    found = [i for i, node in enumerate(nodes) if place.fits(node) and (place.below is None or any(nodes[k]["tag"] == place.below for k in node["up"]))]
+    if not place.paragraphs or place.below:
+        found = found[:1]
+    if not place.paragraphs:
+        return "".join("".join(nodes[i]["text"]) for i in found)
+    inner = [n for n in nodes if n["tag"] == "p" and any(i in n["up"] for i in found) and not any(nodes[k]["tag"] == place.outside for k in n["up"])]
+    return " ".join("".join(n["text"]) for n in inner[place.first : place.last])
+
+
+def page_abstract(page: str, extractor: str, places: dict[str, list[Place]] | None = None) -> str | None:
     """The first valid text among an extractor's places in a page."""
-    for tag, attribute, value, exact, inner, lo, hi in PLACES.get(extractor, ()):
-        match = (lambda n, a=attribute, v=value: n[a] == v) if exact else (lambda n, a=attribute, v=value: v in n[a])
-        for text in _texts(page, tag, match, inner)[:1]:
-            text = " ".join(text.split("\x00")[lo:hi]).strip() if inner else text
+    parser = _Blocks()
+    parser.feed(page)
+    parser.close()
+    for place in (PLACES if places is None else places).get(extractor, ()):
+        text = " ".join(_texts(parser.nodes, place).split())
+        if extractor == "acm":
             text = re.sub(r"(?i)^Abstract\s*[:?\-]?\s*", "", text)
-            if len(text) >= MIN_LENGTH and text.lower() not in NON_TEXTS:
-                return text
+        if len(text) >= MIN_LENGTH and text.lower() not in NON_TEXTS:
+            return text
     return None
 
 
-@F.pandas_udf(T.StringType())
-def _page_abstract(pages: pd.Series, extractors: pd.Series) -> pd.Series:
-    return pd.Series([None if p is None else page_abstract(p, e or "acm") for p, e in zip(pages, extractors, strict=True)], dtype="object")
-
-
 def abstract_of_page(page: Column, extractor: Column) -> Column:
     """The abstract of a publisher's page, cleaned; the script of one publisher is read natively."""
-    return clean_abstract(F.when(extractor == "ieee", from_page_script(page)).otherwise(_page_abstract(F.when(extractor != "ieee", page), extractor)))
+    places = dict(PLACES)
+
+    @F.pandas_udf(T.StringType())
+    def by_place(pages: pd.Series, extractors: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None else page_abstract(p, e or "acm", places) for p, e in zip(pages, extractors, strict=True)], dtype="object")
+
+    return clean_abstract(F.when(extractor == "ieee", from_page_script(page)).otherwise(by_place(F.when(extractor != "ieee", page), extractor)))
 
 
 def word_overlap(a: Column, b: Column) -> Column:

@@ -9,10 +9,12 @@ from lumenbib.functions.derived import doi
 from lumenbib.functions.text import parse_authors
 
 # The order of fields in an entry, the width of a field's name, the column of a further author.
-FIELD_ORDER = "author editor title booktitle journal volume number pages year publisher series address isbn url doi biburl bibsource".split()
+FIELD_ORDER = (
+    "author", "editor", "title", "booktitle", "journal", "volume", "number", "pages", "year", "publisher", "series", "address", "isbn", "url", "doi", "biburl", "bibsource",
+)
 WIDTH, AUTHOR_COLUMN = 13, 18
 # Fields that an entry inherits from its proceedings.
-INHERITED = "editor booktitle publisher series volume address isbn".split()
+INHERITED = ("editor", "booktitle", "publisher", "series", "volume", "address", "isbn")
 SOURCE = "dblp computer science bibliography, https://dblp.org"
 JOURNAL_EVENTS = ("ACM Computing Surveys", "IEEE Communications Surveys & Tutorials", "Foundations and Trends in Privacy and Security")
 
@@ -56,8 +58,8 @@ def entry_of_paper(p: str = "") -> Column:
 
 
 def is_valid_entry(text: Column) -> Column:
-    t = F.ltrim(text)
-    return F.coalesce(t.rlike(r"^@\w+\{[^,]+,") & t.contains("title") & t.contains("year") & (t.contains("author") | t.contains("editor")), F.lit(False))
+    head, t = F.regexp_replace(text, r"^\s+", ""), F.lower(text)
+    return F.coalesce(head.rlike(r"^@\w+\{[^,]+,") & t.contains("title") & t.contains("year") & (t.contains("author") | t.contains("editor")), F.lit(False))
 
 
 def inherit_from_proceedings(entries: DataFrame, proceedings: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,8 +14,9 @@ from pyspark.sql import types as T
 
 # Words without weight in the comparison of titles.
 TITLE_STOP_WORDS = (
-    "a an the of for on in and or but is to with by from via using based towards approach study evaluation analysis system systems"
-).split()
+    "a", "an", "the", "of", "for", "on", "in", "and", "or", "but", "is", "to", "with", "by", "from", "via", "using", "based", "towards", "approach", "study",
+    "evaluation", "analysis", "system", "systems",
+)
 # Venue rules in order, (pattern on the lower-case venue, canonical event).
 EVENT_RULES = (
     (r"^(?:ccs|acm ccs)$", "ACM CCS"),
@@ -129,11 +132,30 @@ def word_count(col: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(col, F.lit("")), r"(?U)\s+"), lambda w: w != ""))
 
 
+_OWN_RULES: list[tuple[str, str]] = []
+
+
+def register_event_rule(pattern: str, event: str) -> None:
+    """Adds a rule behind the fixed ones: a pattern on the lower-case venue and its canonical event."""
+    _OWN_RULES.append((pattern, event))
+
+
+@contextmanager
+def event_rules(rules: list[tuple[str, str]]) -> Iterator[None]:
+    """Registers rules for the expressions that are built inside."""
+    for pattern, event in rules:
+        register_event_rule(pattern, event)
+    try:
+        yield
+    finally:
+        del _OWN_RULES[len(_OWN_RULES) - len(rules) :]
+
+
 def normalize_event(venue: Column) -> Column:
     """The canonical event by the first rule that matches, else the venue as it is."""
     v = F.replace(F.trim(F.lower(venue)), F.lit("&amp;"), F.lit("&"))
     out = F.when(venue.isNull() | (venue == ""), venue)
-    for pattern, event in EVENT_RULES:
+    for pattern, event in (*EVENT_RULES, *_OWN_RULES):
         out = out.when(v.rlike(pattern), event)
     return out.otherwise(venue)
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenbib.functions.derived import paper_class
-from lumenbib.functions.stats import nearest_rank, ratio
+from lumenbib.functions.stats import ratio
 from lumenbib.operators.search import has
 
 
@@ -34,6 +34,21 @@ def coverage_by(papers: DataFrame, column: str) -> DataFrame:
     return papers.groupBy(column).agg(n.alias("total"), a.alias("with_abstract"), b.alias("with_bibtex"), (a * 100.0 / n).alias("abstract_pct"), (b * 100.0 / n).alias("bibtex_pct"))
 
 
+def percentages(papers: DataFrame) -> DataFrame:
+    """The shares of all papers with abstract and with entry; null for no papers."""
+    n = F.count("*")
+    share = lambda c: F.try_divide(F.count_if(_filled(c)) * 100.0, n)
+    return papers.agg(n.alias("total"), share("abstract").alias("abstract_pct"), share("bibtex").alias("bibtex_pct"))
+
+
+def retries(calls: DataFrame) -> DataFrame:
+    """Per service the attempts beyond the first, the most of one call, and the calls that a retry saved."""
+    once = calls.dropDuplicates(["call_id"])
+    return once.groupBy("service").agg(
+        F.sum(F.greatest(F.col("attempts") - 1, F.lit(0))).alias("retries"), F.max("attempts").alias("most"), F.count_if((F.col("attempts") > 1) & (F.col("status") == "ok")).alias("recovered")
+    )
+
+
 def counts_by_class(papers: DataFrame) -> DataFrame:
     return papers.groupBy(paper_class(F.col("title"), F.col("event")).alias("paper_class")).agg(F.count("*").alias("n"))
 
@@ -63,19 +78,47 @@ def missing_by_event(papers: DataFrame) -> DataFrame:
     return papers.where(~_filled("abstract")).groupBy("event").agg(F.count("*").alias("n"))
 
 
+def exact_quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """``(by..., inner0, nearest0, ...)``: for each share the interpolated quantile and the value at the nearest rank.
+
+    A sketch brackets each rank within a thousandth of the rows; values below the bracket are only counted, and those
+    inside it ranked, so that no group's values are gathered, however many it has.
+    """
+    ends = [min(1.0, max(0.0, s + d)) for s in shares for d in (-0.001, 0.001)]
+    some = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    sketch = some.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("_v", F.array(*map(F.lit, ends)), F.lit(10_000)).alias("b"))
+    near = some.join(sketch, by)
+    below = near.groupBy(*by).agg(*[F.count_if(F.col("_v") < F.get("b", F.lit(2 * i))).alias(f"below{i}") for i in range(len(shares))])
+    inside = F.array(*[F.when(F.col("_v").between(F.get("b", F.lit(2 * i)), F.get("b", F.lit(2 * i + 1))), F.lit(i)) for i in range(len(shares))])
+    w = Window.partitionBy(*by, "i").orderBy("_v")
+    ranked = near.select(*by, "n", "_v", F.explode(F.array_compact(inside)).alias("i")).withColumn("r", F.row_number().over(w)).join(below, by)
+    rank = F.col("r") + F.element_at(F.array(*[F.col(f"below{i}") for i in range(len(shares))]), F.col("i") + 1)
+    at = F.element_at(F.array(*map(F.lit, shares)), F.col("i") + 1) * (F.col("n") - 1)
+    ranked = ranked.withColumns({"rank": rank, "at": at})
+    low, high = F.col("rank") == F.floor("at") + 1, F.col("rank") == F.ceil("at") + 1
+    nearest = F.col("rank") == F.greatest(F.lit(1), F.ceil(F.element_at(F.array(*map(F.lit, shares)), F.col("i") + 1) * F.col("n")))
+    picked = ranked.groupBy(*by, "n", "i").agg(F.max(F.when(low, F.col("_v"))).alias("low"), F.max(F.when(high, F.col("_v"))).alias("high"), F.max(F.when(nearest, F.col("_v"))).alias("nearest"), F.max(F.col("at") - F.floor("at")).alias("part"))
+    interpolated = F.col("low") + (F.col("high") - F.col("low")) * F.col("part")
+    return picked.groupBy(*by).agg(*[c for i in range(len(shares)) for c in (F.max(F.when(F.col("i") == i, interpolated)).alias(f"inner{i}"), F.max(F.when(F.col("i") == i, F.col("nearest"))).alias(f"nearest{i}"))])
+
+
 def service_summary(calls: DataFrame) -> DataFrame:
     """Per service and operation: requests, attempts, items, latencies of successes, metered cost and its completeness.
 
     The median is interpolated, the 95th percentile is by nearest rank; a call delivered twice counts once.
     """
     once = calls.dropDuplicates(["call_id"])
-    ok = F.when(F.col("status") == "ok", F.col("latency_ms"))
     cost = F.col("server_reported_api_budget_metering_usd")
-    return once.withColumn("_ok", ok).groupBy("service", "operation").agg(
+    by = ["service", "operation"]
+    sums = once.groupBy(*by).agg(
         F.count("*").alias("requests"), F.sum("attempts").alias("attempts"), F.sum("items").alias("items"), F.count_if(F.col("status") == "ok").alias("ok"),
-        F.percentile("_ok", F.lit(0.5)).alias("median_ms"), nearest_rank("_ok", 0.95).alias("p95_ms"),
         F.round(F.sum(cost), 6).alias("metered_usd"), F.count(cost).alias("metered_requests"), (F.count(cost) == F.count("*")).alias("metering_complete"),
     )
+    marks = exact_quantiles(once.where("status = 'ok'"), by, "latency_ms", [0.5, 0.95])
+    rows = sums.alias("s").join(marks.alias("m"), [F.col(f"s.{c}").eqNullSafe(F.col(f"m.{c}")) for c in by], "left")
+    return rows.select(
+        *[f"s.{c}" for c in by], "requests", "attempts", "items", "ok", F.col("inner0").alias("median_ms"), F.col("nearest1").alias("p95_ms"), "metered_usd", "metered_requests", "metering_complete"
+    )
 
 
 def service_status(calls: DataFrame, statuses: list[str]) -> DataFrame:

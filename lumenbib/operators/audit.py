@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenbib.functions.derived import doi_anywhere
 from lumenbib.functions.hashing import text_digest
 from lumenbib.functions.text import collapse, key_tail, looks_like_timestamp, stable_join
+from lumenbib.operators.records import numbered
 
 
 def log_evidence(papers: DataFrame, log: DataFrame, sources: list[str] | None = None) -> DataFrame:
@@ -34,6 +35,12 @@ def cache_evidence(papers: DataFrame, cache: DataFrame) -> DataFrame:
     return own.where("t <> '' and doi is not null").join(entries, ["doi", "d"]).groupBy("paper_id").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.count("*").alias("entries"))
 
 
+def in_audit_order(papers: DataFrame) -> DataFrame:
+    """``(paper_id, place)``: the place of each paper in the order of key, an absent one as '', and id."""
+    keyed = papers.select("paper_id", F.coalesce("key", F.lit("")).alias("_key"))
+    return numbered(keyed, [], ["_key", "paper_id"], "place").select("paper_id", "place")
+
+
 def provenance(papers: DataFrame, log: DataFrame, cache: DataFrame) -> DataFrame:
     """Each paper's evidence status, digest and joined sources."""
     rows = papers.select("paper_id", "abstract")
@@ -76,6 +83,34 @@ def digest_mismatches(sample: DataFrame, papers: DataFrame) -> DataFrame:
     return sample.join(now, "paper_id", "left").where(F.col("now").isNull() | (F.col("now") != F.col("abstract_sha256")))
 
 
+def verify_inputs(files: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """``(role, path, sha256, ok)`` of input files against expected digests by role; an error names what differs.
+
+    ``files (role, path, bytes, sha256)``; roles without an expectation pass. Files are few by nature.
+    """
+    known = F.create_map(*[F.lit(x) for pair in expected.items() for x in pair]) if expected else F.create_map().cast("map<string,string>")
+    judged = files.select("role", "path", "sha256", F.coalesce(F.col("sha256") == F.try_element_at(known, F.col("role")), F.lit(True)).alias("ok"))
+    if wrong := [f"{r.role}: {r.path}" for r in judged.where("not ok").collect()]:
+        raise ValueError(f"digests differ: {wrong}")
+    return judged
+
+
+def guarded_audit(papers: DataFrame, log: DataFrame, cache: DataFrame, expected: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The provenance of all papers and its summary; with ``expected`` counts an error where the summary differs."""
+    manifest = provenance(papers, log_evidence(papers, log), cache_evidence(papers, cache))
+    summary = provenance_summary(manifest)
+    if expected:
+        row = summary.first().asDict()
+        if wrong := {k: row[k] for k, v in expected.items() if row[k] != v}:
+            raise ValueError(f"counts differ: {wrong}")
+    return manifest, summary
+
+
+def corpus_claims(papers: DataFrame, observed: dict[str, Column], expected: dict[str, tuple[float, float]]) -> DataFrame:
+    """Claims on aggregates of all papers, taken in one pass: ``observed`` names them, ``expected`` has value and tolerance."""
+    return claims(papers.agg(*[c.alias(name) for name, c in observed.items()]), expected)
+
+
 def claims(observed: DataFrame, expected: dict[str, tuple[float, float]]) -> DataFrame:
     """A row per claim from a one-row aggregate: observed and expected value, tolerance and verdict."""
     rows = [

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenbib.functions.stats import exclusive_percentile
 from lumenbib.functions.text import DEFAULT_MONTH, author_key, jaccard, lag_days, normalize_author, parse_authors, squeeze_title, title_tokens
+from lumenbib.session import cut
 
 TITLE_THRESHOLD, SHARED_AUTHORS, OUTCOME_THRESHOLD = 0.55, 1, 0.6
 
@@ -26,28 +27,37 @@ def author_blocked_pairs(papers: DataFrame, preprints: DataFrame) -> DataFrame:
     return pairs.agg(F.array_sort(F.collect_set("k")).alias("shared_authors"))
 
 
+def author_blocks(papers: DataFrame, preprints: DataFrame) -> DataFrame:
+    """``(k, papers, preprints)``: how many records of each side an author key joins, without the pairs themselves."""
+    sides = [name_keys(papers, "paper_id", parse_authors(F.col("authors"))), name_keys(preprints, "arxiv_id", F.col("authors"))]
+    left, right = (side.groupBy("k").agg(F.count("*").alias(name)) for side, name in zip(sides, ("papers", "preprints"), strict=True))
+    return left.join(right, "k")
+
+
 def find_matches(
     papers: DataFrame, preprints: DataFrame, months: dict[str, int] | None = None, title_threshold: float = TITLE_THRESHOLD, shared: int = SHARED_AUTHORS
 ) -> DataFrame:
     """Pairs with ``shared`` authors and alike titles, with the lag from submission to the venue's month.
 
-    Pairs are cut down by the authors before titles are compared; titles are tokenised once per record.
+    Titles are joined first, by their rare words, because a prolific author joins very many records and a title few; the
+    authors of those pairs alone are compared then.
     """
     once = preprints.dropDuplicates(["arxiv_id"])
-    pt = papers.select("paper_id", "title", "year", F.col("event").alias("venue"), title_tokens(F.col("title")).alias("pt"))
-    xt = once.select("arxiv_id", F.col("title").alias("preprint_title"), F.col("submitted_at").alias("submitted"), title_tokens(F.col("title")).alias("xt"))
-    pairs = author_blocked_pairs(papers, once).where(F.size("shared_authors") >= shared)
+    alike = title_join(once.select(F.col("arxiv_id").alias("id"), "title"), papers.select(F.col("paper_id").alias("id"), "title"), title_threshold)
+    alike = cut(alike.select(F.col("l").alias("arxiv_id"), F.col("r").alias("paper_id"), F.col("similarity").alias("title_similarity")))
+    own = papers.join(alike.select("paper_id").distinct(), "paper_id", "left_semi")
+    others = once.join(alike.select("arxiv_id").distinct(), "arxiv_id", "left_semi")
+    left, right = name_keys(own, "paper_id", parse_authors(F.col("authors"))), name_keys(others, "arxiv_id", F.col("authors"))
+    pairs = alike.join(left, "paper_id").join(right, ["arxiv_id", "k"]).groupBy("paper_id", "arxiv_id", "title_similarity")
+    pairs = pairs.agg(F.array_sort(F.collect_set("k")).alias("shared_authors")).where(F.size("shared_authors") >= shared)
     month: Column = F.lit(DEFAULT_MONTH)
     if months:
         known = F.create_map(*[F.lit(v) for pair in months.items() for v in pair])
         month = F.coalesce(F.try_element_at(known, F.col("venue")), F.lit(DEFAULT_MONTH))
-    likeness = jaccard(F.col("pt"), F.col("xt"))
-    return (
-        pairs.join(pt, "paper_id")
-        .join(xt, "arxiv_id")
-        .withColumn("title_similarity", likeness)
-        .where(F.col("title_similarity") >= title_threshold)
-        .select("paper_id", "arxiv_id", "title", "preprint_title", "title_similarity", "shared_authors", lag_days(F.col("submitted"), F.col("year"), month).alias("lag_days"), "year", "venue", "submitted")
+    pt = own.select("paper_id", "title", "year", F.col("event").alias("venue"))
+    xt = others.select("arxiv_id", F.col("title").alias("preprint_title"), F.col("submitted_at").alias("submitted"))
+    return pairs.join(pt, "paper_id").join(xt, "arxiv_id").select(
+        "paper_id", "arxiv_id", "title", "preprint_title", "title_similarity", "shared_authors", lag_days(F.col("submitted"), F.col("year"), month).alias("lag_days"), "year", "venue", "submitted"
     )
 
 
@@ -107,6 +117,15 @@ def venue_rates(matches: DataFrame, papers: DataFrame) -> DataFrame:
     return all_.join(found, "event", "left").select("event", F.coalesce("matched", F.lit(0)).alias("matched"), "total", (F.coalesce("matched", F.lit(0)) / F.col("total")).alias("rate"))
 
 
+def early_signal_study(papers: DataFrame, preprints: DataFrame, events: list[str], years: list[int]) -> DataFrame:
+    """``(cohort, matched, median_lag)`` of the papers of some events and years that had a preprint."""
+    chosen = papers.where(F.col("event").isin(*events) & F.col("year").isin(*years) & F.col("title").isNotNull() & F.col("authors").isNotNull())
+    found = one_per_paper(find_matches(chosen, preprints))
+    counts = found.groupBy("lag_days").agg(F.count("*").alias("n"))
+    summary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("matched"), F.percentile("lag_days", F.lit(0.5), F.col("n")).alias("median_lag"))
+    return chosen.agg(F.count("*").alias("cohort")).join(F.broadcast(summary))
+
+
 def title_join(left: DataFrame, right: DataFrame, threshold: float = OUTCOME_THRESHOLD) -> DataFrame:
     """``(l, r, similarity)`` of titles at least ``threshold`` alike; each side is ``(id, title)``.
 

@@ -38,6 +38,18 @@ def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
     return sorted(set(required) - set(df.columns))
 
 
+def require_columns(df: DataFrame, required: list[str]) -> DataFrame:
+    """``df`` itself, or an error that names the columns it lacks."""
+    if missing := missing_columns(df, required):
+        raise ValueError(f"columns are missing: {missing}")
+    return df
+
+
+def add_missing(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``df`` with a null column for each name of ``columns (name, type)`` it lacks."""
+    return df.withColumns({name: F.lit(None).cast(kind) for name, kind in columns.items() if name not in df.columns})
+
+
 def split_valid_years(df: DataFrame, low: int = 1900, high: int = 2100) -> tuple[DataFrame, DataFrame]:
     """Rows with a year in range, and the rejected rest (a null year is rejected)."""
     ok = F.coalesce(F.col("year").between(low, high), F.lit(False))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ def get_session(app: str = "lumenbib", master: str | None = None, partitions: in
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -46,6 +48,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder, for files that a query writes and reads again."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the checkpoint folder, its lineage cut."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +20,8 @@ from lumenbib.schema import PAPER_CSV, PREPRINT
 # Kinds of records in an XML dump, and the five entities that XML itself defines.
 RECORD_TAGS = ("article", "inproceedings", "incollection", "book", "phdthesis", "mastersthesis")
 XML_ENTITIES = ("amp", "lt", "gt", "quot", "apos")
-LIST_FIELDS, TEXT_FIELDS = ("author", "editor", "ee", "crossref"), "title journal booktitle volume number pages year publisher series isbn address".split()
+LIST_FIELDS = ("author", "editor", "ee", "crossref")
+TEXT_FIELDS = ("title", "journal", "booktitle", "volume", "number", "pages", "year", "publisher", "series", "isbn", "address")
 
 
 # --- listing JSON -------------------------------------------------------------------------------------------
@@ -157,16 +159,19 @@ def read_paper_csv(spark: SparkSession, path: str) -> DataFrame:
         source = have.get(c) or have.get(names.get(c, ""))
         cols.append((F.col(f"`{source}`") if source else F.lit(None).cast("string")).alias(names.get(c, c)))
     rows = raw.select(*cols)
-    kinds = list({"article", "proceedings", "editorship"})
     typed = rows.withColumns({"year": F.expr("try_cast(try_cast(year as double) as int)"), "score": F.expr("try_cast(score as double)")})
-    typed = typed.withColumn("paper_type", F.when(F.col("paper_type").isin(*kinds), F.col("paper_type")).otherwise("unknown"))
+    typed = typed.withColumn("paper_type", normalize_type(F.col("paper_type")))
     return typed.where("title <> '' and year is not null")
 
 
 def read_abstract_csv(spark: SparkSession, path: str, least: int = 50) -> DataFrame:
-    """``(paper_id, abstract)`` of texts of at least ``least`` characters."""
+    """``(paper_id, abstract, position)`` of texts of at least ``least`` characters, and the place of each.
+
+    A file with quoted line ends is read by one task, so file name and running number give the order of the rows.
+    """
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return raw.select(F.col("ID").alias("paper_id"), F.col("Abstract").alias("abstract")).where(F.length("abstract") >= least)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
+    return raw.select(F.col("ID").alias("paper_id"), F.col("Abstract").alias("abstract"), place.alias("position")).where(F.length("abstract") >= least)
 
 
 def read_preprints(spark: SparkSession, path: str) -> DataFrame:
@@ -211,14 +216,14 @@ def read_cache_files(spark: SparkSession, path: str) -> DataFrame:
 # --- services -----------------------------------------------------------------------------------------------
 
 
-def payload_abstracts(payloads: DataFrame) -> DataFrame:
+def payload_abstracts(payloads: DataFrame, order: str | None = None) -> DataFrame:
     """``(paper_id, abstract)`` from recorded answers ``(paper_id, service, payload)`` of three services, in fixed order.
 
-    One answer per service counts: the greatest by text, which repeated rows cannot change.
+    One answer per service counts: the last by ``order``, or, of answers without one, the greatest text.
     """
-    per = payloads.groupBy("paper_id").agg(
-        *[F.max(F.when(F.col("service") == s, F.col("payload"))).alias(s) for s in ("semantic", "openindex", "registry")]
-    )
+    by = F.col(order) if order else F.col("payload")
+    of = lambda s: F.when(F.col("service") == s, by)
+    per = payloads.groupBy("paper_id").agg(*[F.max_by("payload", of(s)).alias(s) for s in ("semantic", "openindex", "registry")])
     index = F.from_json(F.get_json_object("openindex", "$.abstract_inverted_index"), "map<string,array<int>>")
     return per.select(
         "paper_id",
@@ -242,6 +247,52 @@ def worklist(spark: SparkSession, events: list[str], years: tuple[int, int], vol
     return grid.join(F.broadcast(known), ["event", "year"], "left").where(~F.col("event").isin(*journals) | F.col("volume").isNotNull())
 
 
+@dataclass(frozen=True)
+class UrlStrategy:
+    """How the pages of an event are addressed: templates of event and year, or of a volume where ``volumes`` maps years."""
+
+    templates: tuple[str, ...] = ("https://dblp.org/db/conf/{event}/{event}{year}.html",)
+    volumes: tuple[tuple[int, str], ...] = ()
+
+
+def _journal(name: str, volumes: tuple[tuple[int, str], ...]) -> UrlStrategy:
+    return UrlStrategy((f"https://dblp.org/db/journals/{name}/{name}{{volume}}.html",), volumes)
+
+
+# Events with more than one address, and the volumes of journals by year.
+STRATEGIES = {
+    "asiaccs": UrlStrategy(("https://dblp.org/db/conf/asiaccs/asiaccs{year}.html", "https://dblp.org/db/conf/ccs/asiaccs{year}.html")),
+    "acm_csur": _journal("csur", ((2019, "52"), (2020, "52"), (2021, "53"), (2022, "54"), (2023, "55"), (2024, "56"), (2025, "57"), (2026, "58"))),
+    "ieee_comst": _journal("comsur", ((2019, "21"), (2020, "22"), (2021, "23"), (2022, "24"), (2023, "25"), (2024, "26"), (2025, "27"), (2026, "28"))),
+    "fnt_privsec": _journal("ftsec", ((2019, "2"), (2020, "2"), (2022, "5"), (2023, "6"), (2024, "7"), (2025, "8"), (2026, "8"))),
+}
+
+
+def register_strategy(event: str, strategy: UrlStrategy) -> None:
+    """Adds the addresses of an event, or replaces them."""
+    STRATEGIES[event] = strategy
+
+
+def page_urls(spark: SparkSession, events: list[str], years: tuple[int, int]) -> DataFrame:
+    """``(event, year, url)`` of every page to fetch, in the order of its templates; a journal without a volume has none.
+
+    Events and years come from a configuration; the strategies are joined to them as a small table.
+    """
+    rows = [(e, i, t, dict(s.volumes) or None) for e in events for s in [STRATEGIES.get(e, UrlStrategy())] for i, t in enumerate(s.templates)]
+    table = spark.createDataFrame(rows, "event string, place int, template string, volumes map<int,string>")
+    grid = table.withColumn("year", F.explode(F.sequence(F.lit(years[0]), F.lit(years[1]))))
+    volume = F.try_element_at("volumes", F.col("year"))
+    url = F.replace(F.replace("template", F.lit("{event}"), F.col("event")), F.lit("{year}"), F.col("year").cast("string"))
+    url = F.when(F.col("volumes").isNull(), url).otherwise(F.replace(url, F.lit("{volume}"), volume))
+    return grid.select("event", "year", "place", url.alias("url")).where("url is not null")
+
+
+def listing_link(page: Column, base: str = "https://dblp.org") -> Column:
+    """The first link of a page to its listing in JSON, made absolute; null for none."""
+    link = F.replace(F.nullif(F.regexp_extract(page, r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*format=json[^\"']*)[\"']", 1), F.lit("")), F.lit("&amp;"), F.lit("&"))
+    return F.when(link.startswith("http"), link).otherwise(F.concat(F.lit(base), link))
+
+
 def year_windows(spark: SparkSession, since: int, until: int) -> DataFrame:
     """``(year, start, stop)`` of disjoint harvest windows, both ends inclusive."""
     years = spark.range(1).select(F.explode(F.sequence(F.lit(since), F.lit(until))).alias("year"))
