@@ -2,37 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenbib.functions import bibtex, derived, hashing, stats, text
 from lumenbib.operators import aggregates, audit, dml, readiness, records, sampling, search, similarity
 from lumenbib.plans import sql as Q
+from lumenbib.plans.registry import QUERIES, SQL, Query
+from lumenbib.plans.registry import query as _query
 from lumenbib.schema import split_valid_years
 from lumenbib.session import table
 from lumenbib.sources import records as sources
 from lumenbib.streaming import flows
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
 TERMS = ["fuzzing", "intrusion", "phishing", "ransom", "side-channel"]
 SCOPE_EVENTS = ["Sentinel Symposium", "CIPHER Conf", "ACSYS Security"]
 
 
-def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(function: Query) -> Query:
-        _QUERIES[name] = function
-        if sql:
-            _SQL[name] = sql
-        return function
-
-    return keep
-
-
 def _papers(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "papers")
 
@@ -63,11 +49,6 @@ def _(s, d):
     return sources.year_windows(s, 2016, 2026)
 
 
-@_query("src_22_worklist")
-def _(s, d):
-    return sources.worklist(s, SCOPE_EVENTS, (2020, 2025), [(SCOPE_EVENTS[2], 2021, 4)])
-
-
 @_query("proj_01_doi", f"select paper_id, {Q.DOI} as doi, {Q.DOI_ANY} as doi_any, {Q.DOI_URL} as doi_url from papers")
 def _(s, d):
     ee = F.col("ee")
@@ -244,11 +225,6 @@ def _(s, d):
     return _papers(s, d).select("paper_id", bibtex.entry_of_paper().alias("entry"))
 
 
-@_query("scal_25_valid_entry", r"select paper_id from papers where regexp_matches(ltrim(bibtex), '^@\w+\{[^,]+,') and contains(bibtex, 'title') and contains(bibtex, 'year') and (contains(bibtex, 'author') or contains(bibtex, 'editor'))")
-def _(s, d):
-    return _papers(s, d).where(bibtex.is_valid_entry(F.col("bibtex"))).select("paper_id")
-
-
 @_query("scal_29_events", f"select paper_id, {Q.EVENT} as event from papers")
 def _(s, d):
     return _papers(s, d).select("paper_id", text.normalize_event(F.col("venue")).alias("event"))
@@ -270,14 +246,14 @@ def _(s, d):
 
 
 # --- joins --------------------------------------------------------------------------------------------------
-@_query("join_01_staged", "with st as (select paper_id, max(abstract) as a from abstract_log where length(abstract) >= 50 group by 1) select count(*) as scanned, count(p.paper_id) as matched, count(*) filter (where p.paper_id is not null and coalesce(p.abstract, '') = '') as updated, count(*) filter (where coalesce(p.abstract, '') <> '') as skipped_existing, count(*) filter (where p.paper_id is null) as missing_in_db from st left join papers p using (paper_id)")
+@_query("join_01_staged", "with st as (select paper_id, arg_max(abstract, log_id) as a from abstract_log where length(abstract) >= 50 group by 1) select count(*) as scanned, count(p.paper_id) as matched, count(*) filter (where p.paper_id is not null and coalesce(p.abstract, '') = '') as updated, count(*) filter (where coalesce(p.abstract, '') <> '') as skipped_existing, count(*) filter (where p.paper_id is null) as missing_in_db from st left join papers p using (paper_id)")
 def _(s, d):
-    return dml.fill_abstracts(_papers(s, d), table(s, d, "abstract_log").select("paper_id", "abstract"))[1]
+    return dml.fill_abstracts(_papers(s, d), table(s, d, "abstract_log").select("paper_id", "abstract", "log_id"), "log_id")[1]
 
 
-@_query("join_02_filled", "with st as (select paper_id, max(abstract) as a from abstract_log where length(abstract) >= 50 group by 1) select p.paper_id, case when coalesce(p.abstract, '') = '' then coalesce(st.a, p.abstract) else p.abstract end as abstract from papers p left join st using (paper_id)")
+@_query("join_02_filled", "with st as (select paper_id, arg_max(abstract, log_id) as a from abstract_log where length(abstract) >= 50 group by 1) select p.paper_id, case when coalesce(p.abstract, '') = '' then coalesce(st.a, p.abstract) else p.abstract end as abstract from papers p left join st using (paper_id)")
 def _(s, d):
-    return dml.fill_abstracts(_papers(s, d), table(s, d, "abstract_log").select("paper_id", "abstract"))[0].select("paper_id", "abstract")
+    return dml.fill_abstracts(_papers(s, d), table(s, d, "abstract_log").select("paper_id", "abstract", "log_id"), "log_id")[0].select("paper_id", "abstract")
 
 
 @_query("join_03_author_blocks", f"with p as (select distinct paper_id, {Q.AUTHOR_KEY} as k from (select paper_id, unnest(list_filter(list_transform(string_split(authors, ','), lambda x: trim(x)), lambda x: x <> '')) as name from papers)), x as (select distinct arxiv_id, {Q.AUTHOR_KEY} as k from (select arxiv_id, unnest(authors) as name from preprints)) select paper_id, arxiv_id, string_agg(k, ';' order by k) as shared from p join x using (k) where k <> '' group by 1, 2")
@@ -360,11 +336,6 @@ def _(s, d):
     return aggregates.service_status(table(s, d, "service_calls"), ["ok", "error"])
 
 
-@_query("agg_16_quantiles")
-def _(s, d):
-    return similarity.lag_quantiles(_matches(s, d))
-
-
 @_query("agg_21_prolific", f"with k as (select distinct paper_id, {Q.STRICT_KEY} as k from (select paper_id, unnest(list_filter(list_transform(string_split(authors, ','), lambda x: trim(x)), lambda x: x <> '')) as name from papers)) select k, count(*) as papers from k where k <> '' group by 1 having count(*) >= 3")
 def _(s, d):
     return readiness.prior_authors(_papers(s, d), 3)
@@ -416,20 +387,9 @@ def _(s, d):
     return records.repeated_values(_papers(s, d), "ee")
 
 
-@_query("dedup_03_clusters")
-def _(s, d):
-    return records.identity_clusters(_papers(s, d))
-
-
-@_query("dedup_04_summary")
-def _(s, d):
-    p = _papers(s, d).withColumn("doi", derived.doi(F.col("ee")))
-    return records.duplicate_summary(p, records.identity_clusters(p))
-
-
 @_query("strm_08_interleaved", "select source, log_id, row_number() over (partition by source order by sha256(cast(log_id as varchar))) as turn from abstract_log")
 def _(s, d):
-    return records.interleaved(table(s, d, "abstract_log"), "source", "log_id").select("source", "log_id", "turn")
+    return records.interleaved(table(s, d, "abstract_log").select("source", "log_id"), "source", "log_id").select("source", "log_id", "turn")
 
 
 # --- changes ------------------------------------------------------------------------------------------------
@@ -443,9 +403,9 @@ def _(s, d):
     return dml.upsert(_papers(s, d), dml.fold_batch(batch, "log_id"), "2026-01-01 00:00:00").select("paper_id", "title", "abstract", "bibtex")
 
 
-@_query("dml_04_update", "select p.paper_id, coalesce(u.a, p.abstract) as abstract from papers p left join (select paper_id, max(abstract) as a from abstract_log where status = 'ok' group by 1) u using (paper_id)")
+@_query("dml_04_update", "select p.paper_id, coalesce(u.a, p.abstract) as abstract from papers p left join (select paper_id, arg_max(abstract, log_id) as a from abstract_log where status = 'ok' group by 1) u using (paper_id)")
 def _(s, d):
-    new = table(s, d, "abstract_log").where("status = 'ok'").groupBy("paper_id").agg(F.max("abstract").alias("abstract"))
+    new = table(s, d, "abstract_log").where("status = 'ok'").groupBy("paper_id").agg(F.max_by("abstract", "log_id").alias("abstract"))
     return dml.update_column(_papers(s, d), new, "abstract").select("paper_id", "abstract")
 
 
@@ -490,16 +450,6 @@ def _(s, d):
     return similarity.top_matches(_matches(s, d)).select("paper_id", "title_similarity")
 
 
-@_query("ready_01_study")
-def _(s, d):
-    return readiness.study(_preprints(s, d), _papers(s, d), [2021, 2022, 2023, 2024], [0.55, 0.6, 0.7])
-
-
-@_query("ready_02_baselines")
-def _(s, d):
-    return readiness.baselines(_preprints(s, d), _papers(s, d), SCOPE_EVENTS)
-
-
 @_query("sim_05_agreement", "with a as (select paper_id, source, list_distinct(regexp_extract_all(lower(any_value(abstract)), '[a-z0-9]+')) as t from abstract_log where status = 'ok' group by paper_id, source, abstract), p as (select paper_id, list_distinct(regexp_extract_all(lower(abstract), '[a-z0-9]+')) as t from papers) select source, count(*) filter (where len(p.t) > 0 and len(a.t) > 0 and len(list_intersect(a.t, p.t)) >= 0.95 * (len(a.t) + len(p.t) - len(list_intersect(a.t, p.t))) - 1e-12) as agree, count(*) as n from a join p using (paper_id) group by 1")
 def _(s, d):
     log = table(s, d, "abstract_log").where("status = 'ok'").select("paper_id", "source", "abstract").distinct()
@@ -509,16 +459,6 @@ def _(s, d):
 
 
 # --- samples, audits, claims --------------------------------------------------------------------------------
-@_query("samp_01_strata")
-def _(s, d):
-    return sampling.strata(_papers(s, d), "event", 200)
-
-
-@_query("samp_02_sample")
-def _(s, d):
-    return sampling.stratified_sample(_papers(s, d), "paper_id", "event", 200).select("paper_id", "event", "weight")
-
-
 @_query("stat_01_interval")
 def _(s, d):
     valid = F.count_if(F.length(text.collapse(F.col("abstract"))) >= 100)
@@ -548,14 +488,9 @@ def _(s, d):
     return audit.provenance_summary(audit.provenance(_papers(s, d), log, _no_cache(s)))
 
 
-@_query("claim_01_totals", "select 'total' as claim, cast(count(*) as double) as observed, 1000.0::double as expected, 0.0::double as tolerance, count(*) = 1000 as ok from papers union all select 'with_bibtex', cast(count(*) filter (where coalesce(bibtex, '') <> '') as double), 900.0, 100.0, abs(count(*) filter (where coalesce(bibtex, '') <> '') - 900) <= 100 from papers")
+@_query("claim_01_totals", "select 'total' as claim, cast(count(*) as double) as observed, 1000.0::double as expected, 0.0::double as tolerance, count(*) = 1000 as ok from papers union all select 'with_abstract', cast(count(*) filter (where coalesce(abstract, '') <> '') as double), 950.0, 50.0, abs(count(*) filter (where coalesce(abstract, '') <> '') - 950) <= 50 from papers union all select 'with_bibtex', cast(count(*) filter (where coalesce(bibtex, '') <> '') as double), 900.0, 100.0, abs(count(*) filter (where coalesce(bibtex, '') <> '') - 900) <= 100 from papers")
 def _(s, d):
-    return audit.claims(aggregates.totals(_papers(s, d)), {"total": (1000, 0), "with_bibtex": (900, 100)})
-
-
-@_query("strm_05_breaker")
-def _(s, d):
-    return flows.breaker_states(table(s, d, "service_calls"))
+    return audit.claims(aggregates.totals(_papers(s, d)), {"total": (1000, 0), "with_abstract": (950, 50), "with_bibtex": (900, 100)})
 
 
 # --- further single operators -------------------------------------------------------------------------------
@@ -666,8 +601,11 @@ def _(s, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from lumenbib.plans import roundtrips, studies  # noqa: F401  they register themselves
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    queries()
+    return dict(SQL)

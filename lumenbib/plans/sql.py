@@ -1,10 +1,7 @@
-"""SQL texts that several oracles share."""
+"""SQL texts that several oracles share. Rules are stated here in SQL's own words, not taken from the functions they check."""
 
 from __future__ import annotations
 
-from lumenbib.functions.bibtex import JOURNAL_EVENTS, SOURCE
-from lumenbib.functions.text import EVENT_RULES, TITLE_STOP_WORDS
-
 _q = lambda v: "'" + v.replace("'", "''") + "'"
 
 DOI = "(case when contains(ee, 'doi.org/') then substring(ee, strpos(ee, 'doi.org/') + 8) when starts_with(ee, '10.') then ee end)"
@@ -36,12 +33,18 @@ AUTHOR = rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({nfkd('name'
 AUTHOR_KEY = f"(case when not contains({AUTHOR}, ' ') then {AUTHOR} else string_split({AUTHOR}, ' ')[-1] || ' ' || left({AUTHOR}, 1) end)"
 STRICT_KEY = f"(case when contains({AUTHOR}, ' ') and length(string_split({AUTHOR}, ' ')[1]) > 1 then {AUTHOR} else '' end)"
 TITLE_TOKENS = (
-    f"list_distinct(list_filter(string_split(regexp_replace({nfkd('lower(title)')}, '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 1 and w not in ({', '.join(map(_q, TITLE_STOP_WORDS))})))"
+    f"list_distinct(list_filter(string_split(regexp_replace({nfkd('lower(title)')}, '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 1 and w not in "
+    "('a', 'an', 'the', 'of', 'for', 'on', 'in', 'and', 'or', 'but', 'is', 'to', 'with', 'by', 'from', 'via', 'using', 'based', 'towards', 'approach', 'study', 'evaluation', 'analysis', 'system', 'systems')))"
 )
 _V = "replace(trim(lower(venue)), '&amp;', '&')"
-EVENT = "(case when coalesce(venue, '') = '' then venue " + " ".join(f"when regexp_matches({_V}, {_q(p)}) then {_q(e)}" for p, e in EVENT_RULES) + " else venue end)"
+EVENT = rf"""(case when coalesce(venue, '') = '' then venue when {_V} in ('ccs', 'acm ccs') then 'ACM CCS' when regexp_matches({_V}, 'asia[ -]?ccs') then 'ACM ASIA CCS'
+ when regexp_matches({_V}, 'euro.?s.?p') then 'IEEE EURO S&P' when contains({_V}, 'ndss') then 'NDSS' when contains({_V}, 'usenix') then 'USENIX Security'
+ when regexp_matches({_V}, '\bsp\b') or contains({_V}, 'symposium on security and privacy') then 'IEEE S&P' when contains({_V}, 'hotnets') then 'HotNets' when contains({_V}, 'sacmat') then 'ACM SACMAT'
+ when contains({_V}, 'csur') or contains({_V}, 'computing surveys') or contains({_V}, 'comput. surv') then 'ACM Computing Surveys'
+ when contains({_V}, 'comst') or contains({_V}, 'communications surveys') or contains({_V}, 'commun. surv') then 'IEEE Communications Surveys & Tutorials'
+ when contains({_V}, 'fntsec') or contains({_V}, 'foundations and trends') or contains({_V}, 'found. trends priv') then 'Foundations and Trends in Privacy and Security' else venue end)"""
 
-_J = ", ".join(map(_q, JOURNAL_EVENTS))
+_J = "'ACM Computing Surveys', 'IEEE Communications Surveys & Tutorials', 'Foundations and Trends in Privacy and Security'"
 _TAG = f"(case when paper_type = 'proceedings' then 'proceedings' when event in ({_J}) then 'article' else 'inproceedings' end)"
 _LINE = "'  ' || rpad('{0}', 13, ' ') || '= {{' || {1} || '}}'"
 _FIELDS = {
@@ -54,7 +57,7 @@ _FIELDS = {
     "url": "nullif(ee, '')",
     "doi": f"nullif({DOI}, '')",
     "biburl": "'https://dblp.org/rec/' || key || '.bib'",
-    "bibsource": _q(SOURCE),
+    "bibsource": "'dblp computer science bibliography, https://dblp.org'",
 }
 ENTRY = (
     "select paper_id, case when length(key) > 0 then '@' || " + _TAG + " || '{DBLP:' || key || ',' || chr(10) || array_to_string(list_filter(["
