@@ -6,23 +6,28 @@ evidence: whether it shares a term with its title or slug, under how many titles
 whether it names its own host, how many kinds of notice it holds and in what share of its sentences, and the shapes
 of placeholders and filler. Points are added up; a phrase alone decides nothing.
 
-Everything is a native expression; the only shuffle counts the signatures of bodies that share no term with their
-title. Cases, defined: a null, empty or blank body is not a case; a body of any length is read whole; repeated rows
+All is native expressions but for the patterns over whole bodies, which run in Arrow batches; the only shuffle counts
+the signatures of bodies that share no term with their title. Cases, defined: a null, empty or blank body is not a case; a body of any length is read whole; repeated rows
 give one result row each; null title or address merely withdraw their evidence.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenbib.session import cut
 
 # What stands before a placeholder that is talked about, not left over.
 _MENTION = r"(?<!\b(?:such as|variable|variables|the form|form|payload|payloads|like|named|called|syntax|literal|string)\s{1,2}['\"“]?)"
-# Shapes of unfilled template fields.
+# Shapes of unfilled template fields, and the signs with which they all begin.
 PLACEHOLDERS = {
     "mustache": r"\{\{\s*[A-Za-z_][\w.]*(?:\s*[|(][^}]*)?\s*\}\}",
     "dollar": r"\$\{\s*[A-Za-z_][\w.]*\s*\}",
@@ -38,22 +43,22 @@ PLACEHOLDERS = {
     "digits": r"\bX{2,}\s?%|\bX{3,}\b",
     "todo": r"\b(?:TODO|TBD|FIXME):",
 }
-# Phrases of error pages, demands for scripts, site notices, access walls and page furniture, by kind. A
-# pattern is tried where one of the words before it occurs.
+SHAPE_SIGNS = r"\{\{|\$\{|<%|#\{|@@|__|%[A-Z]|\[|<[A-Za-z]|\{[a-z]|XX|(?:TODO|TBD|FIXME):"
+# Phrases of error pages, demands for scripts, site notices, access walls and page furniture, by kind.
 NOTICES = {
-    "noscript": (("noscript",), r"\bnoscript\b"),
-    "scripts": (("script", "cookies"), r"\bscript-capable\b|not run scripts|\b(?:enable|turn on|switch on|allow|activate)\b.{0,40}\b(?:javascript|scripts?|cookies)\b|\b(?:javascript|scripts)\b.{0,60}\b(?:allowed|enabled|switched on|turned on|to work properly)\b"),
-    "browser": (("browser",), r"\byour (?:web )?browser\b|\bbrowser settings\b"),
-    "cookies": (("cookies", "accept all", "reject all", "manage"), r"\bwe use cookies\b|\baccept all\b|\breject all\b|\bmanage (?:your )?(?:preferences|choices|cookies)\b"),
-    "terms": (("terms of", "privacy", "continuing"), r"\bterms of (?:use|service)\b|\bprivacy (?:notice|policy)\b|\bby continuing\b"),
-    "login": (("sign", "log", "session", "account"), r"\b(?:sign|log) ?in\b|\bsession has expired\b|\bcreate a free account\b|\bfree account\b"),
-    "wall": (("subscribers", "buy the", "institution", "preview"), r"\blimited to subscribers\b|\bbuy the article\b|\bthrough your institution\b|\byou are viewing a preview\b"),
-    "error": (("error", "gateway", "not found", "forbidden", "unavailable", "requests", "went wrong", "retrieved", "denied", "incident"), r"\berror code\b|\bbad gateway\b|\b404\b.{0,5}not found|\b\d{3} (?:forbidden|bad gateway|not found|service unavailable|internal server error)\b|\btemporarily unavailable\b|\btoo many requests\b|\bsomething went wrong\b|\bcould not be retrieved\b|\baccess denied\b|\(incident\b"),
-    "blocked": (("blocked", "site policy", "network"), r"\baddress has been blocked\b|\bsite policy\b|\bfrom this network\b"),
-    "retry": (("again", "reload", "persists", "help desk", "maintenance"), r"\btry(?:ing)? again\b|\breload\b|\bif the problem persists\b|\bhelp desk\b|\bdown for maintenance\b"),
-    "page": (("page", "record", "this site", "this website", "proxy"), r"\bpage you (?:requested|are looking)\b|\brecord you are looking\b|\bstart page\b|\bthis (?:site|page|website|article page)\b|\bproxy node\b"),
-    "robot": (("human", "connection", "seconds"), r"\byou are human\b|\bchecking your connection\b|\bthis may take a few seconds\b"),
-    "furniture": (("skip to", "basket", "download", "views", "click", "all rights"), r"\bskip to (?:main )?content\b|\bbasket \(\d+\)|\bdownload pdf\b|\b\d+ views\b|\bclick here\b|\ball rights reserved\b"),
+    "noscript": r"\bnoscript\b",
+    "scripts": r"\bscript-capable\b|not run scripts|\b(?:enable|turn on|switch on|allow|activate)\b.{0,40}\b(?:javascript|scripts?|cookies)\b|\b(?:javascript|scripts)\b.{0,60}\b(?:allowed|enabled|switched on|turned on|to work properly)\b",
+    "browser": r"\byour (?:web )?browser\b|\bbrowser settings\b",
+    "cookies": r"\bwe use cookies\b|\baccept all\b|\breject all\b|\bmanage (?:your )?(?:preferences|choices|cookies)\b",
+    "terms": r"\bterms of (?:use|service)\b|\bprivacy (?:notice|policy)\b|\bby continuing\b",
+    "login": r"\b(?:sign|log) ?in\b|\bsession has expired\b|\bcreate a free account\b|\bfree account\b",
+    "wall": r"\blimited to subscribers\b|\bbuy the article\b|\bthrough your institution\b|\byou are viewing a preview\b",
+    "error": r"\berror code\b|\bbad gateway\b|\b404\b.{0,5}not found|\b\d{3} (?:forbidden|bad gateway|not found|service unavailable|internal server error)\b|\btemporarily unavailable\b|\btoo many requests\b|\bsomething went wrong\b|\bcould not be retrieved\b|\baccess denied\b|\(incident\b",
+    "blocked": r"\baddress has been blocked\b|\bsite policy\b|\bfrom this network\b",
+    "retry": r"\btry(?:ing)? again\b|\breload\b|\bif the problem persists\b|\bhelp desk\b|\bdown for maintenance\b",
+    "page": r"\bpage you (?:requested|are looking)\b|\brecord you are looking\b|\bstart page\b|\bthis (?:site|page|website|article page)\b|\bproxy node\b",
+    "robot": r"\byou are human\b|\bchecking your connection\b|\bthis may take a few seconds\b",
+    "furniture": r"\bskip to (?:main )?content\b|\bbasket \(\d+\)|\bdownload pdf\b|\b\d+ views\b|\bclick here\b|\ball rights reserved\b",
 }
 # Bodies that only stand in for a missing text.
 STAND_INS = (
@@ -79,19 +84,34 @@ SCARCE, PROSE = 0.6, 0.2
 _SPACE = " \t\n\r\f\x0b"
 
 
-def _any(col: Column, patterns: dict[str, str], prefix: str = "") -> Column:
-    return reduce(lambda a, b: a | b, [col.rlike(prefix + p) for p in patterns.values()])
+def _either(tests: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests)
 
 
-def _notices(col: Column) -> list[Column]:
-    """For each kind of notice, whether a text holds it."""
-    low = F.lower(col)
-    held = lambda words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
-    return [F.when(held(words), low.rlike(pattern)).otherwise(False) for words, pattern in NOTICES.values()]
+@F.arrow_udf(T.LongType())
+def _marks(texts: pa.Array) -> pa.Array:
+    """A bit for each kind of notice in a text, and a last one where a placeholder may be. The patterns run in Arrow's engine,
+    whose time is linear in the text; tried one after the other in the JVM they would take most of the time of all."""
+    low = pc.utf8_lower(texts)
+    marks = np.zeros(len(texts), dtype=np.int64)
+    for bit, pattern in enumerate([*NOTICES.values(), SHAPE_SIGNS]):
+        held = pc.match_substring_regex(low if bit < len(NOTICES) else texts, pattern)
+        marks |= pc.fill_null(held, False).to_numpy(zero_copy_only=False).astype(np.int64) << bit
+    return pa.array(marks)
+
+
+@F.arrow_udf(T.StringType())
+def _signature_key(texts: pa.Array) -> pa.Array:
+    """The digest of a text with addresses, numbers and identifiers masked, so that copies from one template agree."""
+    masked = pc.utf8_lower(texts)
+    for pattern, sign in ((r"\b[a-z0-9-]+(?:\.[a-z0-9-]+)+\b", "@"), (r"\b[a-z]*[0-9][a-z0-9]*", "#"), (r"[^\p{L}@#]+", " ")):
+        masked = pc.replace_substring_regex(masked, pattern, sign)
+    return pa.array([None if t is None else hashlib.md5(t.strip().encode()).hexdigest() for t in masked.to_pylist()], pa.string())
 
 
 def _notice(col: Column) -> Column:
-    return reduce(lambda a, b: a | b, _notices(col))
+    low = F.lower(col)
+    return _either([low.rlike(pattern) for pattern in NOTICES.values()])
 
 
 def _terms(col: Column) -> Column:
@@ -99,13 +119,6 @@ def _terms(col: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(col, F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) >= 4))
 
 
-def signature(col: Column) -> Column:
-    """A body with addresses, numbers and identifiers masked, so that copies from one template agree."""
-    hosts = F.regexp_replace(F.lower(col), r"\b[a-z0-9-]+(?:\.[a-z0-9-]+)+\b", "@")
-    numbers = F.regexp_replace(hosts, r"\b(?=[a-z]*\d)[a-z0-9]+\b", "#")
-    return F.trim(F.regexp_replace(numbers, r"[^\p{L}@#]+", " "))
-
-
 def _edge_notice(col: Column) -> Column:
     """Whether a piece at the edge of a text speaks as the page around it, not about pages."""
     address = r"(?i)\bthis (?:site|page|website)\b|\byour (?:web )?browser\b|^\s*(?:please|click|skip|sign|log|accept|subscribe|share|download)\b"
@@ -119,14 +132,16 @@ def features(df: DataFrame, key: str, title: str, body: str, address: str) -> Da
     """
     b = F.col("_b")
     base = df.select(F.col(key).alias("key"), F.col(title).alias("_t"), F.btrim(F.col(body), F.lit(_SPACE)).alias("_b"), F.col(address).alias("_u")).where(b.isNotNull() & (b != ""))
-    base = base.withColumn("_w", F.filter(F.split(F.lower(b), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    # A column of its own, so that it is computed once for the many tests on it.
+    base = base.withColumn("_low", F.lower(b))
+    base = base.withColumn("_w", F.array_remove(F.split("_low", r"[^\p{L}\p{N}]+"), ""))
     words = F.col("_w")
     u = F.coalesce("_u", F.lit(""))
     host = F.lower(F.regexp_extract(u, r"^[a-zA-Z][\w+.-]*://([^/:?#]+)", 1))
     slug = F.regexp_replace(u, r"^[a-zA-Z][\w+.-]*://[^/?#]*", "")
     head = F.substring_index(F.substring_index(b, "\n", 1), ". ", 1)
     tail = F.substring_index(F.substring_index(F.rtrim(b, F.lit("." + _SPACE)), "\n", -1), ". ", -1)
-    bare = F.trim(F.regexp_replace(F.lower(b), r"[^\p{L}]+", " "))
+    bare = F.trim(F.regexp_replace("_low", r"[^\p{L}]+", " "))
     units = F.filter(F.split(b, r"[.!?]\s+|\n+|\s\|\s"), lambda x: x != "")
     scarce = F.size(F.array_distinct(words)) <= SCARCE * F.size(words)
     function_word = lambda w: w.isin(*FUNCTION_WORDS)
@@ -136,12 +151,12 @@ def features(df: DataFrame, key: str, title: str, body: str, address: str) -> Da
         return F.when(test, value).otherwise(False)
 
     base = base.withColumn("_about", F.array_union(_terms(F.col("_t")), _terms(slug)))
-    base = base.withColumn("cues", reduce(lambda a, c: a + c, [k.cast("int") for k in _notices(b)]))
-    mismatch = (F.size("_about") > 0) & ~F.arrays_overlap(F.filter(words, lambda w: F.length(w) >= 4), "_about")
+    base = base.withColumn("_marks", _marks(b)).withColumn("cues", F.bit_count(F.col("_marks").bitwiseAND(F.lit((1 << len(NOTICES)) - 1))))
+    mismatch = (F.size("_about") > 0) & ~F.arrays_overlap(words, "_about")
     base = base.withColumn("mismatch", F.coalesce(mismatch, F.lit(False)))
     return base.select(
         "key",
-        where(b.rlike(r"[{<\[@%]|__|XX|TODO|TBD|FIXME"), _any(b, PLACEHOLDERS, _MENTION)).alias("placeholder"),
+        where(F.getbit("_marks", F.lit(len(NOTICES))) == 1, _either([b.rlike(_MENTION + shape) for shape in PLACEHOLDERS.values()])).alias("placeholder"),
         "cues",
         where(F.col("cues") > 0, F.size(F.filter(units, _notice)) >= 0.5 * F.size(units)).alias("mostly"),
         (_edge_notice(head) | _edge_notice(tail)).alias("edge_notice"),
@@ -153,11 +168,11 @@ def features(df: DataFrame, key: str, title: str, body: str, address: str) -> Da
         ).alias("stand_in"),
         where(
             b.rlike(r"\p{IsLatin}") & (F.size(words) >= 4),
-            where(scarce, prose < PROSE) | where(~b.contains(",") & (F.size(words) >= 10), prose == 0) | F.forall(words, lambda w: w.rlike(r"^(.)\1*$")),
+            where(scarce, prose < PROSE) | where(~b.contains(",") & (F.size(words) >= 10), ~F.arrays_overlap(words, F.array(*map(F.lit, FUNCTION_WORDS)))) | F.forall(words, lambda w: w.rlike(r"^(.)\1*$")),
         ).alias("filler"),
         "mismatch",
-        where(host != "", F.contains(F.lower(b), host)).alias("names_host"),
-        F.when(F.col("mismatch"), signature(b)).otherwise("").alias("signature"),
+        where(host != "", F.contains("_low", host)).alias("names_host"),
+        F.coalesce(_signature_key(F.when(F.col("mismatch"), b)), F.lit("")).alias("signature"),
         F.when(F.col("mismatch"), F.lower(F.element_at(F.split(F.trim(F.coalesce("_t", F.lit(""))), r"[^\p{L}\p{N}]+"), 1))).alias("_lead"),
     )
 
