@@ -30,6 +30,8 @@ ODD_TOKEN = r"\b[\w+.-]+://\S|\b(?:www\.|doi:)\S"
 LIST_START = r"(?i)^\s*(?:key ?words|index terms|categories|subject headings)\s*[:\-—]"
 #: Broadcast bound, in rows, of the word pairs whose contexts are counted; beyond it the join shuffles.
 MAX_BROADCAST_PAIRS = 500_000
+#: Cases of problem 4 up to this count are left out by a broadcast, beyond it by a shuffle.
+MAX_BROADCAST_IDS = 1_000_000
 #: A length is a field limit when at least so many unfinished texts share it, that many times the median over all
 #: lengths at which texts stay unfinished, and they are at least this share of all texts of the length.
 SPIKE_TEXTS, SPIKE_TIMES, SPIKE_SHARE = 4, 4, 0.4
@@ -184,7 +186,9 @@ def found(papers: DataFrame, residue: DataFrame) -> DataFrame:
 
 def reasons(papers: DataFrame, residue: DataFrame) -> DataFrame:
     """``(paper_id, evidence)`` of the same rows."""
-    clean = papers.select("paper_id", "abstract").join(residue.select("paper_id"), "paper_id", "left_anti")
+    bad = residue.select("paper_id")
+    # The cases are few, so the texts need not be shuffled to leave them out.
+    clean = papers.select("paper_id", "abstract").join(broadcast_if_small(bad, bad.count(), MAX_BROADCAST_IDS), "paper_id", "left_anti")
     return truncated(clean)
 
 
