@@ -4,35 +4,43 @@ Method: b-bit MinHash. Of each minimum the low bits are kept and packed, bands o
 candidates, and the collision-corrected similarity of a candidate is estimated by bit counts on the packed
 words, in the JVM. An exact check of the distinct words follows.
 
-Records with equal word sets are one class from the start: only its least record takes part, and the members
-are put back at the end. The band table holds ids and hashes only; packed signatures and word lists are joined
-to candidates, not shuffled with every band. Cases, defined: a null, empty or wordless text has no partner; a
-repeated row counts once; texts are read whole.
+Records with equal word sets are one class from the start: only its least record takes part, and the members are put
+back at the end. Texts are never shuffled: one Arrow pass writes a narrow table of ids, set digests and packed bits, a
+second one turns the texts of the representatives into band keys, and only records that remain after the estimate
+are read again for the exact check. Cases, defined: a null, empty or wordless text has no partner; a repeated row
+counts once; texts are read whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenbib.operators.graph import connected_components
-from lumenbib.session import cut
+from lumenbib.session import broadcast_if_small, cut
 
 #: At similarity 0.7 a pair shares no band with probability 1e-5, at 0.75 with 5e-9; at 0.2, usual among unrelated
 #: records, it shares one with 0.002.
 BANDS, ROWS = 134, 7
-#: Bands whose minima make up the packed signature of the estimate.
-PACKED_BANDS = 32
+#: Minima that make up the packed signature of the estimate.
+PACKED = 128
 #: Bits kept of each minimum. Two unequal minima agree in them once in 2**BITS.
 BITS = 2
 THRESHOLD = 0.7
-#: The estimate has a standard deviation of about 0.04; candidates below the threshold by five of it are dropped.
-SLACK = 0.2
+#: The estimate has a standard deviation of about 0.05; candidates below the threshold by five of it are dropped.
+SLACK = 0.25
+#: Copies and candidates are excluded and looked up by a broadcast up to so many rows, by a shuffle beyond.
+MAX_BROADCAST_ROWS = 1_000_000
+#: Bytes of text that an executor sketches at once, at least one row.
+SLICE_BYTES = 2_000_000
 SEED = 20240607
 
 _LANES = 0x5555555555555555
@@ -88,12 +96,6 @@ def signatures(sets: DataFrame, key: str, words: str, bands: int = BANDS, rows:
     src = sets.select(key, words).where(F.size(words) > 0)
     schema = T.StructType([src.schema[key], T.StructField("bands", longs), T.StructField("packed", longs)])
 
-    def lists(matrix: np.ndarray) -> pa.ListArray:
-        n, width = matrix.shape
-        return pa.ListArray.from_arrays(
-            pa.array(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.array(matrix.view(np.int64).ravel())
-        )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
@@ -103,7 +105,7 @@ def signatures(sets: DataFrame, key: str, words: str, bands: int = BANDS, rows:
                 values = np.asarray(column.flatten()).view(np.uint64)
                 mins = minima(values, starts - starts[0], count)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), lists(band_keys(mins, bands, rows)), lists(pack(mins))], names=[key, "bands", "packed"]
+                    [part.column(0), _longs(band_keys(mins, bands, rows)), _longs(pack(mins))], names=[key, "bands", "packed"]
                 )
 
     return src.mapInArrow(run, schema)
@@ -111,56 +113,118 @@ def signatures(sets: DataFrame, key: str, words: str, bands: int = BANDS, rows:
 
 def estimate(a: str, b: str, count: int = BANDS * ROWS, bits: int = BITS) -> Column:
     """Similarity from two packed signatures: the share of equal lanes, corrected for chance collisions."""
-    lanes = f"cast({_LANES} as bigint)"
-    differ = f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(((x ^ y) | shiftrightunsigned(x ^ y, 1)) & {lanes})), 0, (s, v) -> s + v)"
+    # Written out word by word, which stays inside generated code.
+    differ = [F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))) for i in range(-(-count * bits // 64))]
+    unlike = reduce(lambda s, c: s + c, [F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(_LANES))) for x in differ])
     chance = 1 / 2**bits
-    return (F.lit(1.0) - F.expr(differ) / F.lit(float(count)) - chance) / (1 - chance)
+    return (F.lit(1.0) - unlike / F.lit(float(count)) - chance) / (1 - chance)
+
+
+def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct words of each text, and the text each belongs to, in order of both."""
+    lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), "")), r"[^\p{L}\p{N}]+")
+    flat, owner = lists.flatten(), pc.list_parent_indices(lists)
+    keep = pc.greater(pc.binary_length(flat), 0)
+    coded, owner = flat.filter(keep).dictionary_encode(), owner.filter(keep).to_numpy(zero_copy_only=False).astype(np.int64)
+    hashed = pd.util.hash_array(np.array(coded.dictionary.to_pylist(), dtype=object), categorize=False)
+    values = hashed[coded.indices.to_numpy(zero_copy_only=False)] if len(owner) else np.zeros(0, dtype=np.uint64)
+    order = np.lexsort((values, owner))
+    values, owner = values[order], owner[order]
+    first = np.ones(len(owner), dtype=bool)
+    first[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    return values[first], owner[first]
 
 
-def similar_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``(a, b, similarity)`` of the records of ``sets (id, row, words)`` at or above the threshold, ``a < b``.
+def _sketched(df: DataFrame, schema: str, make) -> DataFrame:
+    """Rows of ``make(ids, row, values, starts)`` for the texts of ``df (id, text)`` that hold a word.
 
-    ``words`` holds distinct 64-bit hashes, ``row`` a number of the record that keeps its band rows short. Records are
-    expected to differ in their word sets.
+    ``row`` is a number of the set of words, 40 bits of its digest, which keeps band rows short; sets that share one by
+    chance are told apart by the exact check.
     """
-    keys = signatures(sets, "row", "words").select("row", F.explode("bands").alias("key"))
-    pairs = (
-        keys.alias("x")
-        .join(keys.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.row") < F.col("y.row")))
-        .select(F.col("x.row").alias("ra"), F.col("y.row").alias("rb"))
-        .distinct()
-    )
-    packed = cut(signatures(sets, "row", "words", PACKED_BANDS).select("row", "packed"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < batch.num_rows:
+                before = sizes[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, side="right")))
+                part = batch.slice(lo, hi - lo)
+                values, owner = _word_hashes(part.column(1))
+                starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, dtype=np.int64)
+                if len(starts):
+                    digest = np.add.reduceat(values * np.uint64(0x9E3779B97F4A7C15), starts)
+                    yield make(part.column(0).take(pa.array(owner[starts])), (digest >> np.uint64(24)).astype(np.int64), values, starts)
+                lo = hi
+
+    return df.select("id", "text").mapInArrow(run, schema)
+
+
+def _longs(matrix: np.ndarray) -> pa.ListArray:
+    n, width = matrix.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.array(matrix.view(np.int64).ravel()))
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """``(id, row, check, packed)`` of ``docs (id, text)``; ``row`` and ``check`` are equal for equal sets of words."""
+
+    def make(ids: pa.Array, row: np.ndarray, values: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+        mixed = (values ^ (values >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        check = np.add.reduceat(mixed ^ (mixed >> np.uint64(27)), starts).view(np.int64)
+        return pa.RecordBatch.from_arrays([ids, pa.array(row), pa.array(check), _longs(pack(minima(values, starts, PACKED)))], names=["id", "row", "check", "packed"])
+
+    return _sketched(docs, f"id {docs.schema['id'].dataType.simpleString()}, row bigint, check bigint, packed array<bigint>", make)
+
+
+def band_rows(docs: DataFrame) -> DataFrame:
+    """``(row, key)``: one 32-bit key per band. Keys that meet by chance are a fiftieth of those of unlike records."""
+
+    def make(ids: pa.Array, row: np.ndarray, values: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+        keys = band_keys(minima(values, starts, BANDS * ROWS), BANDS, ROWS) >> np.uint64(32)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(row, BANDS)), pa.array(keys.astype(np.uint32).view(np.int32).ravel())], names=["row", "key"])
+
+    return _sketched(docs, "row bigint, key int", make)
+
+
+def _classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``docs (id, text)``, ``members (id, row, rep)`` by equal word set, and ``reps (row, rep, packed)``."""
+    docs = df.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null and text <> ''")
+    seen = cut(sketches(docs))
+    reps = cut(seen.groupBy("row", "check").agg(F.min("id").alias("rep"), F.any_value("packed").alias("packed")))
+    members = seen.select("id", "row", "check").distinct().join(reps.select("row", "check", "rep"), ["row", "check"]).select("id", "row", "rep")
+    return docs, cut(members), reps.select("row", "rep", "packed")
+
+
+def similar_sets(docs: DataFrame, members: DataFrame, reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``(a, b, similarity)`` of the representatives whose word sets are at or above the threshold alike, ``a < b``."""
+    copies = members.where("id <> rep").select("id")
+    own = docs.join(broadcast_if_small(copies, copies.count(), MAX_BROADCAST_ROWS), "id", "left_anti")
+    keys = band_rows(own)
+    pairs = keys.alias("x").join(keys.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.row") < F.col("y.row"))).select(F.col("x.row").alias("ra"), F.col("y.row").alias("rb"))
+    # Partitioned by one end at once, which serves the removal of repeats and the first lookup.
+    pairs = pairs.repartition("ra").distinct()
     near = (
-        pairs.join(packed.select(F.col("row").alias("ra"), F.col("packed").alias("pa")), "ra")
-        .join(packed.select(F.col("row").alias("rb"), F.col("packed").alias("pb")), "rb")
-        .where(estimate("pa", "pb", PACKED_BANDS * ROWS) >= threshold - SLACK)
-        .select("ra", "rb")
+        pairs.join(reps.select(F.col("row").alias("ra"), F.col("rep").alias("ia"), F.col("packed").alias("pa")), "ra")
+        .join(reps.select(F.col("row").alias("rb"), F.col("rep").alias("ib"), F.col("packed").alias("pb")), "rb")
+        .where(estimate("pa", "pb", PACKED) >= threshold - SLACK)
+        .select("ia", "ib")
     )
+    near = cut(near)
+    ids = near.select(F.col("ia").alias("id")).union(near.select("ib")).distinct()
+    sets = docs.join(broadcast_if_small(ids, near.count(), MAX_BROADCAST_ROWS), "id", "left_semi").select("id", word_set(F.col("text")).alias("w")).distinct()
     common = F.size(F.array_intersect("wa", "wb"))
     return (
-        near.join(sets.select(F.col("row").alias("ra"), F.col("id").alias("ia"), F.col("words").alias("wa")), "ra")
-        .join(sets.select(F.col("row").alias("rb"), F.col("id").alias("ib"), F.col("words").alias("wb")), "rb")
+        near.join(sets.select(F.col("id").alias("ia"), F.col("w").alias("wa")), "ia")
+        .join(sets.select(F.col("id").alias("ib"), F.col("w").alias("wb")), "ib")
         .select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), (common / (F.size("wa") + F.size("wb") - common)).alias("similarity"))
         .where(F.col("similarity") >= threshold)
     )
 
 
-def _classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """``members (id, rep)`` by equal word set, and ``sets (id, row, words)`` of the representatives."""
-    rows = df.select(F.col(key).alias("id"), word_set(F.col(text)).alias("ws")).where("id is not null and size(ws) > 0")
-    rows = rows.select("id", F.md5(F.array_join("ws", " ")).alias("same"), F.transform("ws", lambda w: F.xxhash64(w)).alias("words")).distinct()
-    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
-    reps = rows.groupBy("same").agg(F.min("id").alias("rep"))
-    members = rows.select("id", "same").join(reps, "same").select("id", "rep")
-    sets = rows.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "row", "words")
-    return members, sets
-
-
 def duplicate_pairs(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
     """``(a, b)`` of all records whose word sets are at least ``threshold`` alike, ``a < b``."""
-    members, sets = _classes(df, key, text)
-    links = similar_sets(sets, threshold)
+    docs, members, reps = _classes(df, key, text)
+    links = similar_sets(docs, members, reps, threshold)
     left = members.select(F.col("rep").alias("ra"), F.col("id").alias("ia"))
     right = members.select(F.col("rep").alias("rb"), F.col("id").alias("ib"))
     across = links.join(left, F.col("a") == F.col("ra")).join(right, F.col("b") == F.col("rb")).select("ia", "ib")
@@ -173,8 +237,8 @@ def duplicate_groups(df: DataFrame, key: str, text: str, threshold: float = THRE
 
     Copies are counted through their class, not paired with each other.
     """
-    members, sets = _classes(df, key, text)
-    links = cut(similar_sets(sets, threshold).select("a", "b"))
+    docs, members, reps = _classes(df, key, text)
+    links = cut(similar_sets(docs, members, reps, threshold).select("a", "b"))
     sizes = members.groupBy("rep").agg(F.count("*").alias("size"))
     both = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(
         links.select(F.col("b").alias("rep"), F.col("a").alias("other"))
@@ -196,6 +260,7 @@ def duplicate_groups(df: DataFrame, key: str, text: str, threshold: float = THRE
 def clean_abstracts(papers: DataFrame, residue: DataFrame, cut_off: DataFrame) -> DataFrame:
     """``(paper_id, abstract)`` without the cases of problems 4 and 5 and without empty abstracts."""
     drop = residue.select("paper_id").unionByName(cut_off.select("paper_id"))
+    drop = broadcast_if_small(drop, drop.count(), MAX_BROADCAST_ROWS)
     return papers.select("paper_id", "abstract").where("trim(abstract) <> ''").join(drop, "paper_id", "left_anti")
 
 
