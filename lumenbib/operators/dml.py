@@ -159,11 +159,14 @@ class VersionedStore:
         return self._commit(now, *self._write(df, partition_by, compression), df.schema.json())
 
     def merge(self, batch: DataFrame, apply: Callable[[DataFrame, DataFrame], DataFrame], empty: DataFrame) -> str:
-        """Makes ``apply(rows, batch)`` current, where only the buckets that hold a key of the batch are read and written."""
+        """Makes ``apply(rows, batch)`` current, where only the buckets that hold a key of the batch are read and written.
+
+        A store without a key is read and written as a whole.
+        """
         now = self.manifest()
         parts = dict((now or {}).get("parts", {}))
-        touched = {str(r.b) for r in batch.select(self._bucket().alias("b")).distinct().collect()}
-        whole = "" in parts
+        whole = self.key is None or "" in parts
+        touched = set() if whole else {str(r.b) for r in batch.select(self._bucket().alias("b")).distinct().collect()}
         held = list(parts.values()) if whole else [parts[b] for b in touched if b in parts]
         rows = self._read(held, now["schema"]).select(*empty.columns) if held else empty
         merged = apply(rows, batch)
