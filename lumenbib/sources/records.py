@@ -132,7 +132,7 @@ def read_proceedings(spark: SparkSession, path: str) -> DataFrame:
 
 def _record_fields(rows: DataFrame) -> DataFrame:
     cut = lambda c: F.nullif(F.trim(F.substring_index(c, "<", 1)), F.lit(""))
-    names = lambda c: F.filter(F.transform(c, cut), lambda n: n.isNotNull())
+    names = lambda c: F.coalesce(F.filter(F.transform(c, cut), lambda n: n.isNotNull()), F.array().cast("array<string>"))
     links = names(F.col("ee"))
     resolver = F.filter(links, lambda u: u.contains("doi.org/"))
     return rows.select(
