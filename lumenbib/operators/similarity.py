@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenbib.functions.stats import exclusive_percentile
 from lumenbib.functions.text import DEFAULT_MONTH, author_key, jaccard, lag_days, normalize_author, parse_authors, squeeze_title, title_tokens
-from lumenbib.session import cut
 
 TITLE_THRESHOLD, SHARED_AUTHORS, OUTCOME_THRESHOLD = 0.55, 1, 0.6
+#: 64-bit words of the bits by which titles are compared first.
+BIT_WORDS = 2
 
 
 def name_keys(rows: DataFrame, key: str, names: Column, keyed=author_key) -> DataFrame:
@@ -39,23 +42,20 @@ def find_matches(
 ) -> DataFrame:
     """Pairs with ``shared`` authors and alike titles, with the lag from submission to the venue's month.
 
-    Titles are joined first, by their rare words, because a prolific author joins very many records and a title few; the
-    authors of those pairs alone are compared then.
+    Records meet by author key and carry their words, so that titles are compared inside the join: a prolific author
+    costs bit counts, and no pair but a match is ever written.
     """
     once = preprints.dropDuplicates(["arxiv_id"])
-    alike = title_join(once.select(F.col("arxiv_id").alias("id"), "title"), papers.select(F.col("paper_id").alias("id"), "title"), title_threshold)
-    alike = cut(alike.select(F.col("l").alias("arxiv_id"), F.col("r").alias("paper_id"), F.col("similarity").alias("title_similarity")))
-    own = papers.join(alike.select("paper_id").distinct(), "paper_id", "left_semi")
-    others = once.join(alike.select("arxiv_id").distinct(), "arxiv_id", "left_semi")
-    left, right = name_keys(own, "paper_id", parse_authors(F.col("authors"))), name_keys(others, "arxiv_id", F.col("authors"))
-    pairs = alike.join(left, "paper_id").join(right, ["arxiv_id", "k"]).groupBy("paper_id", "arxiv_id", "title_similarity")
+    left = _authored(papers, "paper_id", parse_authors(F.col("authors")), "p")
+    right = _authored(once, "arxiv_id", F.col("authors"), "x")
+    pairs = left.join(right, "k").where(_alike("p", "x", title_threshold)).groupBy("paper_id", "arxiv_id", _likeness("p", "x").alias("title_similarity"))
     pairs = pairs.agg(F.array_sort(F.collect_set("k")).alias("shared_authors")).where(F.size("shared_authors") >= shared)
     month: Column = F.lit(DEFAULT_MONTH)
     if months:
         known = F.create_map(*[F.lit(v) for pair in months.items() for v in pair])
         month = F.coalesce(F.try_element_at(known, F.col("venue")), F.lit(DEFAULT_MONTH))
-    pt = own.select("paper_id", "title", "year", F.col("event").alias("venue"))
-    xt = others.select("arxiv_id", F.col("title").alias("preprint_title"), F.col("submitted_at").alias("submitted"))
+    pt = papers.select("paper_id", "title", "year", F.col("event").alias("venue"))
+    xt = once.select("arxiv_id", F.col("title").alias("preprint_title"), F.col("submitted_at").alias("submitted"))
     return pairs.join(pt, "paper_id").join(xt, "arxiv_id").select(
         "paper_id", "arxiv_id", "title", "preprint_title", "title_similarity", "shared_authors", lag_days(F.col("submitted"), F.col("year"), month).alias("lag_days"), "year", "venue", "submitted"
     )
@@ -126,6 +126,41 @@ def early_signal_study(papers: DataFrame, preprints: DataFrame, events: list[str
     return chosen.agg(F.count("*").alias("cohort")).join(F.broadcast(summary))
 
 
+def _worded(rows: DataFrame, tokens: Column, tag: str) -> DataFrame:
+    """``rows`` with the words of a title as one text, their number and the bits of their set."""
+    n, words, bits = f"{tag}_n", f"{tag}_w", [f"{tag}_b{i}" for i in range(BIT_WORDS)]
+    out = rows.withColumn(words, tokens).withColumn(n, F.size(words))
+    place = lambda w: F.pmod(F.xxhash64(w), F.lit(64 * BIT_WORDS))
+    setting = lambda i: lambda b, w: F.when(F.floor(place(w) / 64) == i, b.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place(w), F.lit(64)).cast("int")))).otherwise(b)
+    for i, b in enumerate(bits):
+        out = out.withColumn(b, F.aggregate(words, F.lit(0).cast("long"), setting(i)))
+    return out.withColumn(words, F.array_join(words, " "))
+
+
+def _authored(rows: DataFrame, key: str, names: Column, tag: str) -> DataFrame:
+    """``(key, k)`` and the words of the title, a row for each name that has a key."""
+    own = _worded(rows.select(key, names.alias("_names"), F.col("title").alias("_title")), title_tokens(F.col("_title")), tag).drop("_title")
+    normal = own.withColumn("_name", F.explode("_names")).withColumn("_name", normalize_author(F.col("_name")))
+    # Exploded, not filtered: a condition on the key would move below and normalise every name again.
+    return normal.withColumn("k", F.explode(F.filter(F.array(author_key(F.col("_name"))), lambda k: k != ""))).drop("_names", "_name")
+
+
+def _likeness(a: str, b: str) -> Column:
+    return jaccard(F.split(F.col(f"{a}_w"), " "), F.split(F.col(f"{b}_w"), " "))
+
+
+def _alike(a: str, b: str, threshold: float) -> Column:
+    """Whether two titles are at least ``threshold`` alike.
+
+    Sizes and bits come first and lose no pair: words that the titles do not share are at least as many as the bits in
+    which they differ, and at the threshold no more than ``(1 - t) / (1 + t)`` of both.
+    """
+    na, nb = F.col(f"{a}_n"), F.col(f"{b}_n")
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}_b{i}").bitwiseXOR(F.col(f"{b}_b{i}"))) for i in range(BIT_WORDS)])
+    near = (na > 0) & (nb > 0) & (na >= threshold * nb - 1e-9) & (nb >= threshold * na - 1e-9) & (differ <= (na + nb) * ((1 - threshold) / (1 + threshold)) + 1e-9)
+    return F.when(near, _likeness(a, b) >= threshold).otherwise(F.lit(False))
+
+
 def title_join(left: DataFrame, right: DataFrame, threshold: float = OUTCOME_THRESHOLD) -> DataFrame:
     """``(l, r, similarity)`` of titles at least ``threshold`` alike; each side is ``(id, title)``.
 
