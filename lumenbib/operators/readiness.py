@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenbib.functions.stats import ratio
 from lumenbib.functions.text import parse_authors, strict_author_key
-from lumenbib.operators.similarity import name_keys, title_join
+from lumenbib.operators.similarity import name_keys, title_pairs
 
 
 def prior_authors(papers: DataFrame, least: int = 1) -> DataFrame:
@@ -23,7 +23,7 @@ def sampled_authors(prior: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 def outcomes(preprints: DataFrame, papers: DataFrame, least: float) -> DataFrame:
     """``(arxiv_id, best)``: the most alike published title at or above ``least``; null for none."""
-    pairs = title_join(preprints.select(F.col("arxiv_id").alias("id"), "title"), papers.select(F.col("paper_id").alias("id"), "title"), least)
+    pairs = title_pairs(preprints.select(F.col("arxiv_id").alias("id"), "title"), papers.select(F.col("paper_id").alias("id"), "title"), least)
     best = pairs.groupBy(F.col("l").alias("arxiv_id")).agg(F.max("similarity").alias("best"))
     return preprints.select("arxiv_id").distinct().join(best, "arxiv_id", "left")
 

@@ -11,6 +11,8 @@ from lumenbib.functions.stats import exclusive_percentile
 from lumenbib.functions.text import DEFAULT_MONTH, author_key, jaccard, lag_days, normalize_author, parse_authors, squeeze_title, title_tokens
 
 TITLE_THRESHOLD, SHARED_AUTHORS, OUTCOME_THRESHOLD = 0.55, 1, 0.6
+#: Counters of hashed words that order the words of titles from rare to frequent.
+BUCKETS = 8192
 #: 64-bit words of the bits by which titles are compared first.
 BIT_WORDS = 2
 
@@ -161,26 +163,33 @@ def _alike(a: str, b: str, threshold: float) -> Column:
     return F.when(near, _likeness(a, b) >= threshold).otherwise(F.lit(False))
 
 
-def title_join(left: DataFrame, right: DataFrame, threshold: float = OUTCOME_THRESHOLD) -> DataFrame:
-    """``(l, r, similarity)`` of titles at least ``threshold`` alike; each side is ``(id, title)``.
+def title_pairs(left: DataFrame, right: DataFrame, threshold: float = OUTCOME_THRESHOLD) -> DataFrame:
+    """``(l, r, similarity)`` of titles at least ``threshold`` alike, once for each rare word by which they meet; each side is ``(id, title)``.
 
-    Exact, by prefix and length filters: tokens are ordered from rare to frequent, and of each title only the
-    first ``n - ceil(t n) + 1`` are joined, so that frequent words build no blocks.
+    Exact, by prefix, length and bit filters: tokens are ordered from rare to frequent, and of each title only the
+    first ``n - ceil(t n) + 1`` are joined, so that frequent words build no blocks. Rows carry their words and are
+    compared inside the join, so that candidates are never written. The order is by counts of hashed words, of which
+    the driver holds ``BUCKETS``; any order loses no pair.
     """
-    l = left.select(F.col("id").alias("l"), title_tokens(F.col("title")).alias("lt")).where(F.size("lt") > 0)  # noqa: E741
-    r = right.select(F.col("id").alias("r"), title_tokens(F.col("title")).alias("rt")).where(F.size("rt") > 0)
-    both = l.select(F.explode("lt").alias("t")).unionByName(r.select(F.explode("rt").alias("t")))
-    freq = both.groupBy("t").agg(F.count("*").alias("f"))
-
-    def prefixes(side: DataFrame, key: str, tokens: str) -> DataFrame:
-        rows = side.select(key, F.size(tokens).alias("n"), F.explode(tokens).alias("t")).join(freq, "t")
-        w = Window.partitionBy(key).orderBy("f", "t")
-        kept = rows.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-        return kept.select(key, F.col("n").alias(f"n_{key}"), "t")
-
-    sizes = (F.col("n_l") >= threshold * F.col("n_r") - 1e-9) & (F.col("n_r") >= threshold * F.col("n_l") - 1e-9)
-    pairs = prefixes(l, "l", "lt").join(prefixes(r, "r", "rt"), "t").where(sizes).select("l", "r").distinct()
-    return pairs.join(l, "l").join(r, "r").select("l", "r", jaccard(F.col("lt"), F.col("rt")).alias("similarity")).where(F.col("similarity") >= threshold)
+    l = left.select(F.col("id").alias("l"), title_tokens(F.col("title")).alias("t"))  # noqa: E741
+    r = right.select(F.col("id").alias("r"), title_tokens(F.col("title")).alias("t"))
+    bucket = lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int")
+    seen = l.select(F.explode("t").alias("t")).unionByName(r.select(F.explode("t").alias("t"))).groupBy(bucket(F.col("t")).alias("b")).agg(F.count("*").alias("f"))
+    held = {row.b: row.f for row in seen.collect()}
+    counts = F.split(F.lit(",".join(str(held.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<bigint>")
+
+    def prefixes(side: DataFrame, key: str) -> DataFrame:
+        rows = _worded(side, F.col("t"), key)
+        rare = F.array_sort(F.transform("t", lambda t: F.struct(F.get(counts, bucket(t)).alias("f"), t.alias("t"))))
+        n = F.col(f"{key}_n")
+        return rows.withColumn("t", F.explode(F.slice(rare, F.lit(1), (n - F.ceil(n * threshold - 1e-9) + 1).cast("int")))).withColumn("t", F.xxhash64("t.t"))
+
+    return prefixes(l, "l").join(prefixes(r, "r"), "t").where(_alike("l", "r", threshold)).select("l", "r", _likeness("l", "r").alias("similarity"))
+
+
+def title_join(left: DataFrame, right: DataFrame, threshold: float = OUTCOME_THRESHOLD) -> DataFrame:
+    """``(l, r, similarity)`` of titles at least ``threshold`` alike; each side is ``(id, title)``."""
+    return title_pairs(left, right, threshold).distinct()
 
 
 def agreement(pairs: DataFrame, threshold: float = 0.95) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lumenbib.operators import similarity
+from lumenbib.operators import readiness, similarity
 
 
 def written(spark, run):
@@ -35,3 +35,24 @@ def test_prolific_author_and_common_words_write_no_pairs(spark, sides):
     got, bytes_ = written(spark, lambda: similarity.find_matches(p, x).select("paper_id", "arxiv_id").collect())
     assert sorted(tuple(r) for r in got) == sorted((str(i), str(i)) for i in range(800))
     assert bytes_ < 250_000
+
+
+def test_outcomes_write_no_candidates(spark):
+    # Every word is in a tenth of the titles: each title meets hundreds of others by its rarest words.
+    title = F.concat_ws(" ", *[F.concat(F.lit(f"w{i}x"), F.pmod(F.xxhash64("id", F.lit(i)), F.lit(10))) for i in range(8)])
+    rows = spark.range(1500).select(F.col("id").cast("string").alias("key"), title.alias("title"))
+    x, p = rows.withColumnRenamed("key", "arxiv_id"), rows.withColumnRenamed("key", "paper_id")
+    got, bytes_ = written(spark, lambda: readiness.outcomes(x, p, 0.6).collect())
+    assert len(got) == 1500 and {r.best for r in got} == {1.0}
+    assert bytes_ < 60_000
+
+
+def test_bits_and_sizes_lose_no_pair(spark):
+    words = [f"t{i}" for i in range(90)]
+    titles = [" ".join(words[a:b]) for a in range(0, 90, 15) for b in range(a + 1, 91, 8)] + ["", "the", None]
+    rows = spark.createDataFrame(list(enumerate(titles)), "id int, title string")
+    for t in (0.55, 1.0):
+        sets = [set((x or "").replace("the", "").split()) for x in titles]
+        want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if a and b and len(a & b) / len(a | b) >= t}
+        got = [tuple(r) for r in similarity.title_join(rows, rows, t).select("l", "r").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
