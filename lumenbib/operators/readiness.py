@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenbib.functions.stats import ratio
 from lumenbib.functions.text import parse_authors, strict_author_key
 from lumenbib.operators.similarity import name_keys, title_pairs
+from lumenbib.session import cut
 
 
 def prior_authors(papers: DataFrame, least: int = 1) -> DataFrame:
@@ -28,10 +29,11 @@ def outcomes(preprints: DataFrame, papers: DataFrame, least: float) -> DataFrame
     return preprints.select("arxiv_id").distinct().join(best, "arxiv_id", "left")
 
 
-def has_record(preprints: DataFrame, prior: DataFrame, names: Column | None = None) -> DataFrame:
-    """``(arxiv_id, record)``: whether a strict key of the preprint is among the prior authors."""
+def has_record(preprints: DataFrame, prior: DataFrame, names: Column | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """``(arxiv_id, record)``: whether a strict key of the preprint is among the prior authors; ``keys (arxiv_id, k)`` if they are known."""
     names = F.col("authors") if names is None else names
-    hit = name_keys(preprints, "arxiv_id", names, strict_author_key).join(prior.select("k"), "k", "left_semi").select("arxiv_id").distinct()
+    keys = name_keys(preprints, "arxiv_id", names, strict_author_key) if keys is None else keys
+    hit = keys.join(prior.select("k"), "k", "left_semi").select("arxiv_id").distinct()
     return preprints.select("arxiv_id").distinct().join(hit.withColumn("record", F.lit(True)), "arxiv_id", "left").select("arxiv_id", F.coalesce("record", F.lit(False)).alias("record"))
 
 
@@ -74,8 +76,10 @@ def study(preprints: DataFrame, papers: DataFrame, years: list[int], thresholds:
 def baselines(preprints: DataFrame, papers: DataFrame, events: list[str], threshold: float = 0.6, prolific: int = 3, seed: int = 42) -> DataFrame:
     """Rates of other filters: any venue, chosen venues, prolific, as many random, first and last authors."""
     own = preprints.dropDuplicates(["arxiv_id"])
-    everyone, chosen = prior_authors(papers), prior_authors(papers.where(F.col("event").isin(*events)))
-    many = prior_authors(papers, prolific)
+    # Names are normalised once for all variants.
+    keys = cut(name_keys(own, "arxiv_id", F.col("authors"), strict_author_key))
+    everyone, chosen = cut(prior_authors(papers)), cut(prior_authors(papers.where(F.col("event").isin(*events))))
+    many = everyone.where(F.col("papers") >= prolific)
     listed = parse_authors(F.col("authors"))
     ends = {n: name_keys(papers.where(F.size(listed) > 0), "paper_id", F.array(F.element_at(listed, at)), strict_author_key).select("k").distinct() for n, at in (("first", 1), ("senior", -1))}
     sample = sampled_authors(everyone, max(1, chosen.count()), seed)
@@ -83,6 +87,6 @@ def baselines(preprints: DataFrame, papers: DataFrame, events: list[str], thresh
     outcome = outcomes(own, papers, threshold)
     rows = None
     for name, prior in variants.items():
-        one = has_record(own, prior).withColumn("variant", F.lit(name))
+        one = has_record(own, prior, keys=keys).withColumn("variant", F.lit(name))
         rows = one if rows is None else rows.unionByName(one)
     return rates(counts(rows, outcome, [threshold], ["variant"]))

@@ -56,3 +56,12 @@ def test_bits_and_sizes_lose_no_pair(spark):
         want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if a and b and len(a & b) / len(a | b) >= t}
         got = [tuple(r) for r in similarity.title_join(rows, rows, t).select("l", "r").collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_baselines_normalise_names_once(spark, sides, monkeypatch):
+    p, x = sides
+    calls = []
+    monkeypatch.setattr(readiness, "name_keys", lambda *a: calls.append(a[1]) or similarity.name_keys(*a))
+    got = {r.variant: (r.n_with, r.n_without) for r in readiness.baselines(x, p, ["E"]).collect()}
+    assert got["any"] == got["chosen_venues"] == got["random"] == (400, 400) and got["prolific"] == (400, 400)
+    assert calls.count("arxiv_id") == 1
