@@ -2,13 +2,15 @@
 
 Method: b-bit MinHash. Of each minimum the low bits are kept and packed, bands of the full minima generate
 candidates, and the collision-corrected similarity of a candidate is estimated by bit counts on the packed
-words, in the JVM. An exact check of the distinct words follows.
+words where its keys meet. An exact check of the distinct words follows.
 
 Records with equal word sets are one class from the start: only its least record takes part, and the members are put
-back at the end. Texts are never shuffled: one Arrow pass writes a narrow table of ids, set digests and packed bits, a
-second one turns the texts of the representatives into band keys, and only records that remain after the estimate
-are read again for the exact check. Cases, defined: a null, empty or wordless text has no partner; a repeated row
-counts once; texts are read whole.
+back at the end. Texts are never shuffled: one Arrow pass writes a narrow table of ids and set digests, a second one
+turns the texts of the representatives into columns of band keys, and only records that remain after the estimate
+are read again for the exact check. Candidates are never written: unlike records meet by chance in numbers that grow
+with the square of the records, so a task takes some bands whole, with the packed bits beside them, and passes on
+what the estimate leaves. Cases, defined: a null, empty or wordless text has no partner; a repeated row counts once;
+texts are read whole.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +44,16 @@ SLACK = 0.25
 MAX_BROADCAST_ROWS = 1_000_000
 #: Bytes of text that an executor sketches at once, at least one row.
 SLICE_BYTES = 2_000_000
+#: Bytes kept of a band key. Keys of a band that agree in them by chance cost a look at the packed bits, no more.
+KEY_BYTES = 3
+#: Tasks that share the bands of a block of records; each needs the packed bits of the block once.
+PARTS = 8
+#: Records whose packed bits a task holds at most. More records make blocks of half of it, each met with each.
+HELD_RECORDS = 2_500_000
+#: Records whose packed bits, and whose keys of a band, stand in one row, which bounds the batches that Spark hands over.
+PACKED_RUN, KEYS_RUN = 64, 1024
+#: Candidates estimated, and pairs collected, at once.
+MEET_ROWS = 200_000
 SEED = 20240607
 
 _LANES = 0x5555555555555555
@@ -136,13 +149,13 @@ def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketched(df: DataFrame, schema: str, make) -> DataFrame:
-    """Rows of ``make(ids, row, values, starts)`` for the texts of ``df (id, text)`` that hold a word.
+    """Batches of ``make(number, ids, values, starts)`` for the texts of ``df (id, text)`` that hold a word.
 
-    ``row`` is a number of the set of words, 40 bits of its digest, which keeps band rows short; sets that share one by
-    chance are told apart by the exact check.
+    ``number`` tells the slices of texts apart and is the same when a task runs again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
             lo = 0
@@ -153,8 +166,8 @@ def _sketched(df: DataFrame, schema: str, make) -> DataFrame:
                 values, owner = _word_hashes(part.column(1))
                 starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, dtype=np.int64)
                 if len(starts):
-                    digest = np.add.reduceat(values * np.uint64(0x9E3779B97F4A7C15), starts)
-                    yield make(part.column(0).take(pa.array(owner[starts])), (digest >> np.uint64(24)).astype(np.int64), values, starts)
+                    yield from make(number, part.column(0).take(pa.array(owner[starts])), values, starts)
+                    number += 1
                 lo = hi
 
     return df.select("id", "text").mapInArrow(run, schema)
@@ -166,56 +179,154 @@ def _longs(matrix: np.ndarray) -> pa.ListArray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``(id, row, check, packed)`` of ``docs (id, text)``; ``row`` and ``check`` are equal for equal sets of words."""
+    """``(id, row, check)`` of ``docs (id, text)``; ``row`` and ``check`` are equal for equal sets of words."""
 
-    def make(ids: pa.Array, row: np.ndarray, values: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+    def make(number: int, ids: pa.Array, values: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        row = np.add.reduceat(values * np.uint64(0x9E3779B97F4A7C15), starts).view(np.int64)
         mixed = (values ^ (values >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         check = np.add.reduceat(mixed ^ (mixed >> np.uint64(27)), starts).view(np.int64)
-        return pa.RecordBatch.from_arrays([ids, pa.array(row), pa.array(check), _longs(pack(minima(values, starts, PACKED)))], names=["id", "row", "check", "packed"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(row), pa.array(check)], names=["id", "row", "check"])
 
-    return _sketched(docs, f"id {docs.schema['id'].dataType.simpleString()}, row bigint, check bigint, packed array<bigint>", make)
+    return _sketched(docs, f"id {docs.schema['id'].dataType.simpleString()}, row bigint, check bigint", make)
 
 
-def band_rows(docs: DataFrame) -> DataFrame:
-    """``(row, key)``: one 32-bit key per band. Keys that meet by chance are a fiftieth of those of unlike records."""
+def band_columns(docs: DataFrame, blocks: int) -> DataFrame:
+    """``(task, band, start, slice, second, ids, data)``: what each task of ``near_pairs`` needs of ``docs (id, text)``.
 
-    def make(ids: pa.Array, row: np.ndarray, values: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
-        keys = band_keys(minima(values, starts, BANDS * ROWS), BANDS, ROWS) >> np.uint64(32)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(row, BANDS)), pa.array(keys.astype(np.uint32).view(np.int32).ravel())], names=["row", "key"])
-
-    return _sketched(docs, "row bigint, key int", make)
+    Band -1 holds ids and packed bits, the others keys, of records from ``start`` in a slice. A task has some bands of
+    one block or of two, then ``second`` marks the slices of the second.
+    """
+    kind = docs.schema["id"].dataType.simpleString()
+    numbers = {pair: k for k, pair in enumerate((g, h) for g in range(blocks) for h in range(g, blocks))}
+    parts, bands = np.arange(PARTS), np.arange(BANDS)
+
+    def make(number: int, ids: pa.Array, values: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        mins = minima(values, starts, BANDS * ROWS)
+        keys = np.ascontiguousarray((band_keys(mins, BANDS, ROWS) >> np.uint64(64 - 8 * KEY_BYTES)).T)
+        keys = keys.astype("<u8").view(np.uint8).reshape(BANDS, len(ids), 8)[:, :, :KEY_BYTES]
+        packed, n = pack(mins[:, :PACKED]), len(ids)
+        own = ((number >> 32) + number) % blocks
+        heads, runs = np.arange(0, n, PACKED_RUN), np.arange(0, n, KEYS_RUN)
+        bits = [packed[lo : lo + PACKED_RUN].tobytes() for lo in heads] * PARTS
+        cells = [k[lo : lo + KEYS_RUN].tobytes() for k in keys for lo in runs]
+        ends = np.append(np.add.outer(parts * n, heads).ravel(), PARTS * n).astype(np.int32)
+        lists = pa.ListArray.from_arrays(ends, pa.concat_arrays([ids] * PARTS)), pa.nulls(len(cells), pa.list_(ids.type))
+        for other in range(blocks):
+            first = numbers[min(own, other), max(own, other)] * PARTS
+            for task, band, start, held, data in (
+                (np.repeat(parts, len(heads)), np.full(len(bits), -1), np.tile(heads, PARTS), lists[0], bits),
+                (np.repeat(bands * PARTS // BANDS, len(runs)), np.repeat(bands, len(runs)), np.tile(runs, BANDS), lists[1], cells),
+            ):
+                numbered = [pa.array(x.astype(np.int32)) for x in (first + task, band, start)]
+                both = [pa.array(np.full(len(data), x)) for x in (number, own > other)]
+                yield pa.RecordBatch.from_arrays([*numbered, *both, held, pa.array(data, pa.binary())], names=["task", "band", "start", "slice", "second", "ids", "data"])
+
+    return _sketched(docs, f"task int, band int, start int, slice bigint, second boolean, ids array<{kind}>, data binary", make)
+
+
+def _meeting(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs of equal ``keys``, some at a time."""
+    both = np.sort((keys.astype(np.uint64) << np.uint64(32)) | np.arange(len(keys), dtype=np.uint64))
+    keys, at = (both >> np.uint64(32)).astype(np.uint32), (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    del both
+    left, apart = np.flatnonzero(keys[1:] == keys[:-1]), 1
+    while len(left):
+        for lo in range(0, len(left), MEET_ROWS):
+            some = left[lo : lo + MEET_ROWS]
+            yield at[some], at[some + apart]
+        apart += 1
+        left = left[left + apart < len(keys)]
+        left = left[keys[left] == keys[left + apart]]
+
+
+def near_pairs(docs: DataFrame, blocks: int, least: float) -> DataFrame:
+    """``(ia, ib)`` of ``docs (id, text)``, ``ia < ib``: pairs with a common band and an estimate of at least ``least``."""
+    kind = docs.schema["id"].dataType.simpleString()
+    most = int(np.floor(PACKED * (1 - 1 / 2**BITS) * (1 - least) + 1e-9))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, packed, second, keys, found, band = [], [], [], [], [], -1
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            """The pairs of one band, then none."""
+            if band < 0:
+                return
+            column = np.zeros((sum(map(len, keys)) // KEY_BYTES, 4), dtype=np.uint8)
+            column[:, :KEY_BYTES] = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, KEY_BYTES)
+            keys.clear()
+            for i, j in _meeting(column.view("<u4").ravel()):
+                if crossed:
+                    keep = second[i] != second[j]
+                    i, j = i[keep], j[keep]
+                unlike = packed[i] ^ packed[j]
+                unlike = (unlike | (unlike >> np.uint64(1))) & np.uint64(_LANES)
+                keep = np.bitwise_count(unlike).sum(axis=1) <= most
+                i, j = i[keep].astype(np.uint64), j[keep].astype(np.uint64)
+                found.append((np.minimum(i, j) << np.uint64(32)) | np.maximum(i, j))
+                if sum(map(len, found)) >= MEET_ROWS:
+                    yield named()
+
+        def named() -> pa.RecordBatch:
+            pairs = np.unique(np.concatenate(found))
+            found.clear()
+            a, b = (ids.take(pa.array(x)) for x in (pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)))
+            up = pc.less(a, b)
+            # A repeated row meets itself.
+            return pa.RecordBatch.from_arrays([pc.if_else(up, a, b), pc.if_else(up, b, a)], names=["ia", "ib"]).filter(pc.not_equal(a, b))
 
-def _classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``docs (id, text)``, ``members (id, row, rep)`` by equal word set, and ``reps (row, rep, packed)``."""
+        for batch in batches:
+            bands, data = batch.column(1).to_numpy(zero_copy_only=False), batch.column(6)
+            for k, b in enumerate(bands):
+                if b != band:
+                    if band < 0:
+                        ids, packed = pa.concat_arrays(ids), np.frombuffer(b"".join(packed), np.uint64).reshape(len(second), -1)
+                        second = np.array(second)
+                        crossed = second.any() and not second.all()
+                    yield from settle()
+                    band = b
+                if b < 0:
+                    part = batch.column(5).slice(k, 1).flatten()
+                    # Copied, so that it doesn't hold its batch.
+                    ids.append(pa.concat_arrays([part.slice(0, 0), part]))
+                    second.extend([batch.column(4)[k].as_py()] * len(part))
+                    packed.append(data[k].as_py())
+                else:
+                    keys.append(data[k].as_py())
+        if band >= 0:
+            yield from settle()
+            if found:
+                yield named()
+
+    tasks = PARTS * blocks * (blocks + 1) // 2
+    columns = band_columns(docs, blocks).repartitionById(tasks, "task").sortWithinPartitions("band", "slice", "start")
+    return columns.mapInArrow(run, f"ia {kind}, ib {kind}").distinct()
+
+
+def _classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """``docs (id, text)``, and ``members (id, rep)`` by equal word set."""
     docs = df.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null and text <> ''")
     seen = cut(sketches(docs))
-    reps = cut(seen.groupBy("row", "check").agg(F.min("id").alias("rep"), F.any_value("packed").alias("packed")))
-    members = seen.select("id", "row", "check").distinct().join(reps.select("row", "check", "rep"), ["row", "check"]).select("id", "row", "rep")
-    return docs, cut(members), reps.select("row", "rep", "packed")
+    reps = seen.groupBy("row", "check").agg(F.min("id").alias("rep"))
+    members = seen.distinct().join(reps, ["row", "check"]).select("id", "rep")
+    return docs, cut(members)
 
 
-def similar_sets(docs: DataFrame, members: DataFrame, reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def similar_sets(docs: DataFrame, members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(a, b, similarity)`` of the representatives whose word sets are at or above the threshold alike, ``a < b``."""
     copies = members.where("id <> rep").select("id")
-    own = docs.join(broadcast_if_small(copies, copies.count(), MAX_BROADCAST_ROWS), "id", "left_anti")
-    keys = band_rows(own)
-    pairs = keys.alias("x").join(keys.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.row") < F.col("y.row"))).select(F.col("x.row").alias("ra"), F.col("y.row").alias("rb"))
-    # Partitioned by one end at once, which serves the removal of repeats and the first lookup.
-    pairs = pairs.repartition("ra").distinct()
-    near = (
-        pairs.join(reps.select(F.col("row").alias("ra"), F.col("rep").alias("ia"), F.col("packed").alias("pa")), "ra")
-        .join(reps.select(F.col("row").alias("rb"), F.col("rep").alias("ib"), F.col("packed").alias("pb")), "rb")
-        .where(estimate("pa", "pb", PACKED) >= threshold - SLACK)
-        .select("ia", "ib")
-    )
-    near = cut(near)
+    n = copies.count()
+    own = docs.join(broadcast_if_small(copies, n, MAX_BROADCAST_ROWS), "id", "left_anti")
+    held = members.count() - n
+    blocks = 1 if held <= HELD_RECORDS else -(-2 * held // HELD_RECORDS)
+    near = cut(near_pairs(own, blocks, threshold - SLACK))
     ids = near.select(F.col("ia").alias("id")).union(near.select("ib")).distinct()
-    sets = docs.join(broadcast_if_small(ids, near.count(), MAX_BROADCAST_ROWS), "id", "left_semi").select("id", word_set(F.col("text")).alias("w")).distinct()
+    # One string of words takes a third of the shuffle of an array.
+    sets = docs.join(broadcast_if_small(ids, near.count(), MAX_BROADCAST_ROWS), "id", "left_semi").select("id", F.array_join(word_set(F.col("text")), " ").alias("w")).distinct()
     common = F.size(F.array_intersect("wa", "wb"))
     return (
         near.join(sets.select(F.col("id").alias("ia"), F.col("w").alias("wa")), "ia")
         .join(sets.select(F.col("id").alias("ib"), F.col("w").alias("wb")), "ib")
+        .select("ia", "ib", F.split("wa", " ").alias("wa"), F.split("wb", " ").alias("wb"))
         .select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), (common / (F.size("wa") + F.size("wb") - common)).alias("similarity"))
         .where(F.col("similarity") >= threshold)
     )
@@ -223,8 +334,8 @@ def similar_sets(docs: DataFrame, members: DataFrame, reps: DataFrame, threshold
 
 def duplicate_pairs(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
     """``(a, b)`` of all records whose word sets are at least ``threshold`` alike, ``a < b``."""
-    docs, members, reps = _classes(df, key, text)
-    links = similar_sets(docs, members, reps, threshold)
+    docs, members = _classes(df, key, text)
+    links = similar_sets(docs, members, threshold)
     left = members.select(F.col("rep").alias("ra"), F.col("id").alias("ia"))
     right = members.select(F.col("rep").alias("rb"), F.col("id").alias("ib"))
     across = links.join(left, F.col("a") == F.col("ra")).join(right, F.col("b") == F.col("rb")).select("ia", "ib")
@@ -237,8 +348,8 @@ def duplicate_groups(df: DataFrame, key: str, text: str, threshold: float = THRE
 
     Copies are counted through their class, not paired with each other.
     """
-    docs, members, reps = _classes(df, key, text)
-    links = cut(similar_sets(docs, members, reps, threshold).select("a", "b"))
+    docs, members = _classes(df, key, text)
+    links = cut(similar_sets(docs, members, threshold).select("a", "b"))
     sizes = members.groupBy("rep").agg(F.count("*").alias("size"))
     both = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(
         links.select(F.col("b").alias("rep"), F.col("a").alias("other"))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lumenbib.llm import minhash
 from lumenbib.operators import readiness, similarity
 
 
@@ -65,3 +66,25 @@ def test_baselines_normalise_names_once(spark, sides, monkeypatch):
     got = {r.variant: (r.n_with, r.n_without) for r in readiness.baselines(x, p, ["E"]).collect()}
     assert got["any"] == got["chosen_venues"] == got["random"] == (400, 400) and got["prolific"] == (400, 400)
     assert calls.count("arxiv_id") == 1
+
+
+def test_unlike_records_that_share_bands_write_no_candidates(spark):
+    # Any two records share 30 of 100 words: each meets about a thirtieth of the others in some band.
+    words = [F.lit(f"s{i}") for i in range(30)] + [F.concat(F.lit(f"w{i}x"), F.col("id").cast("string")) for i in range(35)]
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("k"), F.concat_ws(" ", *words).alias("t"))
+    close = rows.where("k < '12'").select(F.concat(F.lit("c"), "k").alias("k"), F.concat("t", F.lit(" more")).alias("t"))
+    both = rows.unionByName(close).repartition(4)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    got, bytes_ = written(spark, lambda: minhash.duplicate_pairs(both.checkpoint(), "k", "t").collect())
+    want = sorted((r.k[1:], r.k) for r in close.select("k").collect())
+    assert sorted(tuple(r) for r in got) == want and len(want) > 100
+    assert bytes_ < 1300 * (3000 + len(want))
+
+
+def test_blocks_of_records_meet_as_one(spark, sf, monkeypatch):
+    monkeypatch.setattr(minhash, "SLICE_BYTES", 20_000)
+    monkeypatch.setattr(minhash, "MEET_ROWS", 50)
+    docs = spark.read.parquet(f"{sf}/papers.parquet").selectExpr("paper_id as id", "abstract as text").repartition(3)
+    docs = docs.unionByName(docs.limit(200)).checkpoint()
+    one, three = (sorted(tuple(r) for r in minhash.near_pairs(docs, n, 0.3).collect()) for n in (1, 3))
+    assert one == three and len(one) > 10 and all(a < b for a, b in one)
