@@ -245,14 +245,15 @@ def near_pairs(docs: DataFrame, blocks: int, least: float) -> DataFrame:
     most = int(np.floor(PACKED * (1 - 1 / 2**BITS) * (1 - least) + 1e-9))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, packed, second, keys, found, band = [], [], [], [], [], -1
+        # Bytes are gathered in place: many small pieces would stay in the worker's memory.
+        ids, packed, second, keys, found, band = [], bytearray(), bytearray(), bytearray(), [], -1
 
         def settle() -> Iterator[pa.RecordBatch]:
             """The pairs of one band, then none."""
             if band < 0:
                 return
-            column = np.zeros((sum(map(len, keys)) // KEY_BYTES, 4), dtype=np.uint8)
-            column[:, :KEY_BYTES] = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, KEY_BYTES)
+            column = np.zeros((len(keys) // KEY_BYTES, 4), dtype=np.uint8)
+            column[:, :KEY_BYTES] = np.frombuffer(bytes(keys), np.uint8).reshape(-1, KEY_BYTES)
             keys.clear()
             for i, j in _meeting(column.view("<u4").ravel()):
                 if crossed:
@@ -279,8 +280,8 @@ def near_pairs(docs: DataFrame, blocks: int, least: float) -> DataFrame:
             for k, b in enumerate(bands):
                 if b != band:
                     if band < 0:
-                        ids, packed = pa.concat_arrays(ids), np.frombuffer(b"".join(packed), np.uint64).reshape(len(second), -1)
-                        second = np.array(second)
+                        ids, packed = pa.concat_arrays(ids), np.frombuffer(packed, np.uint64).reshape(len(second), -1)
+                        second = np.frombuffer(second, bool)
                         crossed = second.any() and not second.all()
                     yield from settle()
                     band = b
@@ -288,10 +289,10 @@ def near_pairs(docs: DataFrame, blocks: int, least: float) -> DataFrame:
                     part = batch.column(5).slice(k, 1).flatten()
                     # Copied, so that it doesn't hold its batch.
                     ids.append(pa.concat_arrays([part.slice(0, 0), part]))
-                    second.extend([batch.column(4)[k].as_py()] * len(part))
-                    packed.append(data[k].as_py())
+                    second += bytes([batch.column(4)[k].as_py()]) * len(part)
+                    packed += data[k].as_py()
                 else:
-                    keys.append(data[k].as_py())
+                    keys += data[k].as_py()
         if band >= 0:
             yield from settle()
             if found:
